@@ -7,14 +7,15 @@ Method
   2. Two small collections of ``side`` tuples of ``rows`` minhashes are computed. Table (i, j) is
      keyed by tuple i of the first with tuple j of the second: ``side``^2 tables from
      2 * side * rows minhashes instead of side^2 * 2 * rows.
-  3. Within a table's bucket, taken in an order that differs from table to table, each class is
-     paired with the ``window`` classes before it. A bucket of at most ``window`` + 1 classes has
-     thereby all its pairs. Larger buckets are finished in step 5.
+  3. Within a table's bucket, in order of id, each class is paired with the ``window`` classes before
+     it, so a bucket of at most ``window`` + 1 classes has all its pairs. Of a larger bucket every
+     member is also tied to the bucket's first.
   4. Pairs are confirmed on full sets; components of the confirmed links.
-  5. In larger buckets that still span several components, each class outside the bucket's
-     largest component is paired with all classes of the bucket that are in another component,
-     and confirmed. No pair that shares a bucket is left undecided unless both are in one
-     component already, where its link cannot change the result.
+  5. Ties that still join different components form clusters. In a cluster every class outside its
+     largest component is compared with all classes of the cluster, block against block: a task holds
+     at most some ``BLOCK`` sets of either side and counts common shingles by an index, so no pairs are
+     listed. No pair that shares a bucket is left undecided unless both are in one component already,
+     where its link cannot change the result.
 
 Chance that a pair of similarity s shares no bucket: below 2 * (1 - s^rows)^side, which for the
 defaults is 2e-4 at s = 0.8 and 1e-5 at 0.85.
@@ -36,6 +37,7 @@ from . import kernel as K
 from .shared import components, written
 
 FILTER_BITS = 22
+BLOCK = 128
 _rng = np.random.Generator(np.random.PCG64(77001))
 _MULT = _rng.integers(0, 2**64, 256, dtype=K.U64) | K.U64(1)
 _ADD = _rng.integers(0, 2**64, 256, dtype=K.U64)
@@ -84,7 +86,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, rows: in
 
 
 def _bucket_rows(classes: DataFrame, side: int) -> DataFrame:
-    """(key, ord, rep, n): a row for each class and table."""
+    """(key, rep, n): a row for each class and table."""
 
     def work(batches):
         for b in batches:
@@ -95,34 +97,38 @@ def _bucket_rows(classes: DataFrame, side: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     table = np.arange(side * side, dtype=K.U64).reshape(side, side)
                     key = K.mix(sig[:, :side, None] * K.U64(0xD6E8FEB86659FD93) + sig[:, None, side:] + table).reshape(len(rep), -1)
-                    order = K.mix(rep.view(K.U64)[:, None] ^ key)
                 n = side * side
-                yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(order.ravel().view(np.int64)), pa.array(np.repeat(rep, n)), pa.array(np.repeat(part.column(1).to_numpy(), n))], ["key", "ord", "rep", "n"])
+                yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(rep, n)), pa.array(np.repeat(part.column(1).to_numpy(), n))], ["key", "rep", "n"])
 
-    return classes.select("rep", "n", "sig").mapInArrow(work, "key long, ord long, rep long, n long")
+    return classes.select("rep", "n", "sig").mapInArrow(work, "key long, rep long, n long")
 
 
 def _near_pairs(buckets: DataFrame, window: int, percent: int) -> DataFrame:
-    """Reads buckets in order and emits (key null, a, b) for pairs of the sliding window whose
-    sizes allow a link, and (key, a, null) for the members of buckets larger than the window.
-    Keeps window + 1 rows between batches."""
+    """Reads buckets in order and emits (tie = false, a, b) for pairs of the sliding window whose sizes
+    allow a link, and (tie = true, a, b) for the members b of a bucket larger than the window with its
+    first member a. Keeps ``window`` + 1 rows between batches, whatever a bucket's size."""
+
+    def rows(tie, p):
+        p = np.unique(p, axis=0)
+        return pa.record_batch([pa.array(np.full(len(p), tie)), pa.array(p[:, 0]), pa.array(p[:, 1])], ["tie", "a", "b"])
 
     def work(batches):
         kept = np.zeros((3, 0), np.int64)  # key, rep, n of the tail of the last group
-        shift = 0  # rank of the first kept row in its group
+        shift, head = 0, 0  # rank of the first kept row in its group; the group's first member
         for b in batches:
             if not b.num_rows:
                 continue
-            key, rep, n = (np.concatenate((kept[i], b.column(c).to_numpy())) for i, c in enumerate((0, 2, 3)))
+            key, rep, n = (np.concatenate((kept[i], b.column(i).to_numpy())) for i in range(3))
             old = kept.shape[1]
             new_group = np.empty(len(key), bool)
             new_group[0] = True
             np.not_equal(key[1:], key[:-1], out=new_group[1:])
             group = np.cumsum(new_group) - 1
             start = np.flatnonzero(new_group)
-            rank = np.arange(len(key)) - start[group]
+            rank, first = np.arange(len(key)) - start[group], rep[start]
             if old:
                 rank[group == 0] += shift
+                first[0] = head
             last = np.concatenate((start[1:], [len(key)])) - 1
             big = rank[last] > window
             pairs = []
@@ -137,17 +143,16 @@ def _near_pairs(buckets: DataFrame, window: int, percent: int) -> DataFrame:
                 at = at[100 * small >= percent * large]
                 pairs.append(np.stack((np.minimum(rep[at], rep[at - k]), np.maximum(rep[at], rep[at - k])), 1))
             if pairs and (p := np.concatenate(pairs)).size:
-                p = np.unique(p, axis=0)
-                yield pa.record_batch([pa.nulls(len(p), pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1])], ["key", "a", "b"])
-            member = big[group]
+                yield rows(False, p)
+            member = big[group] & (rank > 0)
             if old and shift + old - 1 > window:
                 member[:old] = False  # told before
             if member.any():
-                yield pa.record_batch([pa.array(key[member]), pa.array(rep[member]), pa.nulls(int(member.sum()), pa.int64())], ["key", "a", "b"])
+                yield rows(True, np.stack((first[group[member]], rep[member]), 1))
             tail = max(start[-1], len(key) - window - 1)
-            kept, shift = np.stack((key[tail:], rep[tail:], n[tail:])), int(rank[tail])
+            kept, shift, head = np.stack((key[tail:], rep[tail:], n[tail:])), int(rank[tail]), int(first[-1])
 
-    return buckets.repartition("key").sortWithinPartitions("key", "ord").mapInArrow(work, "key long, a long, b long")
+    return buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(work, "tie boolean, a long, b long")
 
 
 def _filter_bits(ids: DataFrame) -> bytes:
@@ -196,31 +201,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 2, side: int = 9, window: int = 12) -> DataFrame:
+def _clusters(ties: DataFrame, group: DataFrame) -> DataFrame | None:
+    """(rep, comp, cluster) of the classes in clusters that span several components; None without any."""
+    def named(t, x):
+        g = group.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_comp"))
+        return t.join(g, t[x] == g[f"{x}_node"], "left").withColumn(x, F.coalesce(f"{x}_comp", x)).select("a", "b")
+
+    open_ties = written(named(named(ties, "a"), "b").where("a != b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), "ties")
+    if not open_ties.head(1):
+        return None
+    cluster = written(components(open_ties), "clusters").selectExpr("node AS comp", "component AS cluster")
+    linked = group.selectExpr("node AS rep", "component AS comp").join(cluster, "comp").select("rep", "comp", "cluster")
+    single = cluster.join(group.select("node"), cluster.comp == group.node, "left_anti").selectExpr("comp AS rep", "comp", "cluster")
+    return written(linked.unionByName(single), "members")
+
+
+def _block_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components of one cluster."""
+    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
+    top = top.select("cluster", F.col("m.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / BLOCK)).cast("int").alias("rb"))
+    sets = shingle_table(docs, members.select(F.col("rep").alias("id")), id_col, text_col, words)
+    # rows that repeat an id with another text stand for the id by one of their sets
+    sets = sets.groupBy("id").agg(F.max("shingles").alias("shingles"))
+    full = members.join(sets, members.rep == sets.id).join(top, "cluster")
+
+    def blocks(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    seed = F.xxhash64("rep")
+    every = full.select("cluster", F.pmod(seed, F.col("mb")).cast("int").alias("m"), F.explode(blocks("rb")).alias("r"), F.lit(False).alias("rest"), "rep", "comp", "shingles", "top")
+    rest = full.where("comp != top").select("cluster", F.explode(blocks("mb")).alias("m"), F.pmod(seed, F.col("rb")).cast("int").alias("r"), F.lit(True).alias("rest"), "rep", "comp", "shingles", "top")
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_rest, rep, comp = (table.column(c).to_numpy() for c in ("rest", "rep", "comp"))
+        sets = [np.frombuffer(x.as_buffer(), K.U64) for x in table.column("shingles")]
+        top = table.column("top")[0].as_py()
+        left, right = np.flatnonzero(is_rest), np.flatnonzero(~is_rest)
+        a, b = [], []
+        if len(left) and len(right):
+            size = np.array([len(sets[i]) for i in right])
+            flat, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in left:
+                lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(right))
+                # two classes outside the largest component meet twice; once is enough
+                ok = (100 * common >= percent * (len(sets[i]) + size - common)) & (comp[right] != comp[i]) & ((comp[right] == top) | (rep[right] < rep[i]))
+                a += [int(rep[i])] * int(ok.sum())
+                b += rep[right][ok].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return every.unionByName(rest).groupBy("cluster", "m", "r").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 2, side: int = 9, window: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by
     links of similarity >= percent), kept (doc_id = component_id)."""
     sig = written(signatures(docs, id_col, text_col, words, rows, side), "signatures")
     classes = sig.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
     found = written(_near_pairs(_bucket_rows(classes, side), window, percent), "found")
-    pairs = written(found.where("b IS NOT NULL AND a != b").select("a", "b").distinct(), "pairs")
+    pairs = written(found.where("NOT tie AND a != b").select("a", "b").distinct(), "pairs")
     links = written(confirmed(pairs, docs, id_col, text_col, words, percent), "links")
-    group = components(links)
-    large = found.where("b IS NULL").select("key", F.col("a").alias("rep"))
-    if large.head(1):
-        member = large.join(group, large.rep == group.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        member = written(member, "members")
-        count = member.groupBy("key", "c").count()
-        top = count.groupBy("key").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.c").alias("top"))
-        odd = member.join(top, "key").where("c != top").selectExpr("key", "rep AS x", "c AS cx")
-        rest = odd.join(member, "key").where("c != cx").selectExpr("least(x, rep) AS a", "greatest(x, rep) AS b").distinct()
-        size = classes.select("rep", "n")
-        rest = rest.join(size.selectExpr("rep AS a", "n AS na"), "a").join(size.selectExpr("rep AS b", "n AS nb"), "b")
-        rest = rest.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").join(pairs, ["a", "b"], "left_anti")
-        rest = written(rest, "rest")
-        if rest.head(1):
-            links = links.unionByName(written(confirmed(rest, docs, id_col, text_col, words, percent), "morelinks"))
-            group = components(links)
+    group = written(components(links), "groups")
+    members = _clusters(found.where("tie AND a != b").select("a", "b").distinct(), group)
+    if members is not None:
+        more = written(_block_links(members, docs, id_col, text_col, words, percent), "morelinks")
+        group = written(components(links.unionByName(more)), "groups")
     named = classes.select("d1", "d2", "rep").join(group, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     comp = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("comp"))
