@@ -7,10 +7,10 @@ documents; around each hit the document and the item are laid on the hit's diago
 pair counts when some stretch of at least ``min_words`` words (or the whole item, if shorter,
 from ``SPAN`` words up) agrees in at least ``percent`` of its places.
 
-Plan: one pass over the texts probes a fixed-size slot table of the benchmark's hashes and keeps
-only regions around possible hits; the region table (small) is written, its hashes are joined
+Plan: one pass over the texts probes a Bloom filter of the benchmark's hashes and keeps only regions
+around possible hits; the region table (small) is written, its hashes are joined
 with the benchmark's by an ordinary shuffle or runtime-chosen join, and candidates are verified
-in Arrow batches. The slot table has 2^SLOT_BITS bits whatever the benchmark's size; a larger
+in Arrow batches. The filter has 2^SLOT_BITS bits whatever the benchmark's size; a larger
 benchmark only lets more windows through to the join.
 
 Defined results: null or empty texts, ids or items that are null, and items shorter than SPAN
@@ -33,6 +33,9 @@ SPAN = 9
 #: in most placements.
 MASKS = ("110110011", "101011101", "111000111", "011101110")
 SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+#: Where a hash's slots lie in its bits.
+SHIFTS = (42, 21, 0)
 MARGIN = 64
 GAP = 64
 
@@ -54,8 +57,13 @@ def _masked(h: np.ndarray, t: K.Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(out), at
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> K.U64(64 - SLOT_BITS)).astype(np.int64)
+def _taken(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether all of a hash's slots are taken (a Bloom filter; later probes look at what is left)."""
+    out = table[(h >> K.U64(SHIFTS[0])).astype(np.int64) & SLOTS - 1]
+    left = np.nonzero(out)
+    for shift in SHIFTS[1:]:
+        out[left] &= table[(h[left] >> K.U64(shift)).astype(np.int64) & SLOTS - 1]
+    return out
 
 
 def benchmark_hashes(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +97,7 @@ def regions(docs: DataFrame, slots: bytes, id_col: str, text_col: str) -> DataFr
             for run in K.runs(b.column(1)):
                 h, t = _words(run)
                 m, at = _masked(h, t)
-                which, w = np.nonzero(table[_slots(m)]) if m.size else (np.zeros(0, np.int64),) * 2
+                which, w = np.nonzero(_taken(table, m)) if m.size else (np.zeros(0, np.int64),) * 2
                 if not len(w):
                     continue
                 order = np.argsort(w, kind="stable")
@@ -122,8 +130,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     agreeing stretch, its agreeing words, and the document's word at which it starts."""
     bench = written(benchmark_hashes(items, item_col, item_text_col), "bench")
     seeds = bench.select("item_id", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("item_id", F.col("s.hashes").alias("hash"), F.col("s.places").alias("at"))
-    taken = seeds.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS).cast("int").alias("s")).distinct().toPandas()["s"]
-    bits = np.zeros(1 << SLOT_BITS, bool)
+    probes = F.array(*(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for k in SHIFTS))
+    taken = seeds.select(F.explode(probes).alias("s")).distinct().toPandas()["s"]
+    bits = np.zeros(SLOTS, bool)
     bits[taken.to_numpy(np.int64)] = True
     found = written(regions(docs, np.packbits(bits).tobytes(), id_col, text_col), "regions")
     hits = found.select("doc_id", "region", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "region", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
