@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import decontaminate, minhash, mixing, nbsvm, secret_scan
-from lexilake.llm.shared import shared_folder
+from lexilake.llm.shared import new_folder
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS = 5
@@ -62,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/lexilake-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")

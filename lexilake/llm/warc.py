@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import new_folder, written
 
 SEGMENT_BYTES = 16384
 CHUNK_BYTES = 4096
@@ -229,10 +228,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
 
-    # the number of rows left for the shuffle is small, so it is worth a written table only for the
-    # pages' sake: both branches read the same parse
-    from .shared import written
-
+    # both branches below read the same parse
     parsed = written(files.mapInArrow(archives, raw), "parsed")
     whole = parsed.where("origin IS NULL").select(*names[:5])
     sets = parsed.where("origin IS NOT NULL").groupBy("origin").agg(F.max("digest").alias("digest"), F.sum(F.expr("int(number = 1)")).alias("copies"), F.sort_array(F.collect_set(F.struct("number", "block", "total"))).alias("pieces"))
@@ -252,6 +248,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write the pages to archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/lexilake-{uuid.uuid4().hex}/warc"
+    path = f"{new_folder(spark)}/warc"
     write_archives(pages, path, **columns)
     return read_archives(spark, path)
