@@ -52,9 +52,11 @@ def _words(text: Column) -> Column:
     return form
 
 
-def _form(words: Column) -> Column:
-    """One text's canonical form from its words."""
+def _form(words: Column, one_line: Column | None = None) -> Column:
+    """One text's canonical form from its words. Within one line blanks are single already."""
     form = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), "[ \n]+", " ")
+    if one_line is not None:
+        form = F.when(one_line, F.concat(F.lit(" "), F.trim(words), F.lit(" "))).otherwise(form)
     for a, b in PHRASES:
         form = F.replace(form, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(form)
@@ -85,7 +87,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     words = docs.select(F.col(id_col).cast("long").alias("id"), _words(F.col(text_col).cast("string")).alias("words")).where("words IS NOT NULL")
     parts = words.select("id", F.posexplode(F.concat(F.array("words"), F.split("words", "\n"))).alias("place", "words"))
-    parts = parts.select("id", (F.col("place") == 0).alias("whole"), _form(F.col("words")).alias("form")).where("form != ''")
+    parts = parts.select("id", (F.col("place") == 0).alias("whole"), _form(F.col("words"), F.col("place") > 0).alias("form")).where("form != ''")
     found = parts.select("id", "whole", F.sha2("form", 256).alias("digest")).join(digests, "digest")
     line = F.when(~F.col("whole"), F.col("license_id"))
     found = found.groupBy("id").agg(F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"), F.count(line).alias("n"), F.array_join(F.array_sort(F.collect_set(line)), ",").alias("names"))
