@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WEIGHTS = (3, 1, 2)
 BUCKET_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,7 +61,8 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, percent: int = 150, most
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality=None, weights: tuple = WEIGHTS, percent: int = 150, most: int = 2, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row."""
-    sized = sizes(docs, id_col, text_col, source_col, quality)
+    # texts are read once: all later steps work on a narrow written table
+    sized = written(sizes(docs, id_col, text_col, source_col, quality), "sizes")
     per = targets(sized, weights, percent, most)
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = sized.withColumn("key", -F.log(u) / F.col("quality"))
