@@ -9,9 +9,11 @@ from pathlib import Path
 from ..operators.catalogue import BY_ID, CATEGORIES, TIERS
 from ..operators.linting import expand_rules, normalize_severity
 
-#: Names and defaults of the configuration.
-RC_NAMES = (".sloprc.json", ".sloprc", ".sloprc.js", ".sloprc.mjs", "sloprc.json")
-PACKAGE_KEY = "aiTextPatterns"
+#: Names of configuration files and the key in a package file. Both are parameters of ``discover`` and
+#: ``resolve``, so files that another tool left under its own names can be read.
+RC_NAMES = (".lexilakerc.json", ".lexilakerc", "lexilakerc.json")
+PACKAGE_KEY = "lexilake"
+#: Formats and defaults of the configuration.
 FORMATS = ("pretty", "json", "github", "sarif")
 DEFAULTS = {
     "include": ["**/*.md", "**/*.mdx", "**/*.markdown", "**/*.txt"],
@@ -82,12 +84,12 @@ def load(path: Path) -> dict:
     return validate(found, str(path))
 
 
-def discover(folder: str | Path = ".") -> tuple[dict, str | None]:
+def discover(folder: str | Path = ".", names: tuple = RC_NAMES, package_key: str = PACKAGE_KEY) -> tuple[dict, str | None]:
     """The nearest folder wins; within one, its rc files before its package file. Only the first is
     read; nothing is merged. A package file that does not parse is passed over."""
     at = Path(folder).resolve()
     for here in (at, *at.parents):
-        for name in RC_NAMES:
+        for name in names:
             if (here / name).exists():
                 return load(here / name), str(here / name)
         package = here / "package.json"
@@ -96,13 +98,13 @@ def discover(folder: str | Path = ".") -> tuple[dict, str | None]:
                 found = json.loads(package.read_text("utf-8"))
             except ValueError:
                 found = None
-            if isinstance(found, dict) and found.get(PACKAGE_KEY):
-                source = f"{package} ({PACKAGE_KEY})"
-                return validate(found[PACKAGE_KEY], source), source
+            if isinstance(found, dict) and found.get(package_key):
+                source = f"{package} ({package_key})"
+                return validate(found[package_key], source), source
     return {}, None
 
 
-def resolve(flags: Flags | None = None, folder: str | Path = ".") -> tuple[dict, str | None]:
+def resolve(flags: Flags | None = None, folder: str | Path = ".", names: tuple = RC_NAMES, package_key: str = PACKAGE_KEY) -> tuple[dict, str | None]:
     """Defaults, then the file, then flags; then only, single rules, and the tier floor, which is last
     and so beats a single rule. The result's rules name every category."""
     flags = flags or Flags()
@@ -113,7 +115,7 @@ def resolve(flags: Flags | None = None, folder: str | Path = ".") -> tuple[dict,
             raise ConfigError(f"Config file not found: {flags.config}")
         base, source = load(path), str(path)
     elif not flags.no_config:
-        base, source = discover(folder)
+        base, source = discover(folder, names, package_key)
     out = {**DEFAULTS, **base, "rules": dict(base.get("rules") or {})}
     for key, value in (("threshold", flags.threshold), ("maxWarnings", flags.max_warnings), ("format", flags.format), ("maskCodeSpans", flags.mask_code), ("maxHitsPerRule", flags.max_hits)):
         if value is not None:

@@ -14,7 +14,7 @@ from lexilake.operators import extraction, linting, matching, rules, scoring, wi
 from lexilake.operators.catalogue import CATEGORIES, PATTERN_INDEX, STRUCTURAL, TIERS
 
 CLEAN = "The survey covers nine towns. Each one kept its records until the war, and some kept them later. Nobody has compared the tax rolls yet."
-SLOP = "As an AI language model, I cannot browse.\n\nThe bridge stands as a testament to craft — it's not just a bridge — it's a symbol.\n\nI hope this helps!"
+MACHINE = "As an AI language model, I cannot browse.\n\nThe bridge stands as a testament to craft — it's not just a bridge — it's a symbol.\n\nI hope this helps!"
 
 
 def frame(spark, texts):
@@ -63,7 +63,7 @@ def test_look_ahead(spark):
 
 
 def test_engines_agree(spark):
-    texts = [e for c in CATEGORIES for p in c.patterns for e in p.examples] + [SLOP, CLEAN, "", "🚀 x `delve` ‘it’s’", "a\r\n## Key Takeaways\r\nb"]
+    texts = [e for c in CATEGORIES for p in c.patterns for e in p.examples] + [MACHINE, CLEAN, "", "🚀 x `delve` ‘it’s’", "a\r\n## Key Takeaways\r\nb"]
     docs = frame(spark, texts)
     a, b = (matching.with_hits(docs, engine=e).select("doc_id", "hits").orderBy("doc_id").collect() for e in ("arrow", "builtin"))
     assert a == b
@@ -152,8 +152,8 @@ def test_severity():
 
 
 def test_score(spark):
-    slop, clean, empty = scoring.scored(frame(spark, [SLOP, CLEAN, ""])).orderBy("doc_id").collect()
-    assert slop.score > 50 and clean.score < 20
+    machine, clean, empty = scoring.scored(frame(spark, [MACHINE, CLEAN, ""])).orderBy("doc_id").collect()
+    assert machine.score > 50 and clean.score < 20
     assert (empty.score, empty.word_count, empty.band) == (0, 0, "no meaningful signal")
 
 
@@ -197,7 +197,7 @@ def test_extract_prose(spark):
 
 
 def test_summary(spark):
-    docs = linting.lint(frame(spark, [SLOP, CLEAN]), threshold=50)
+    docs = linting.lint(frame(spark, [MACHINE, CLEAN]), threshold=50)
     s = linting.summarize(docs, F.col("doc_id").cast("string")).first()
     assert (s.fileCount, s.failed, [x.filePath for x in s.overThreshold]) == (2, True, ["0"]) and s.errorCount > 0
     calm = linting.summarize(linting.quiet(linting.lint(frame(spark, ["She played a vital role."]))), F.lit("x"), 0).first()
@@ -212,7 +212,7 @@ def test_match_category(spark):
 
 
 def test_report(spark):
-    scored = scoring.scored(frame(spark, [SLOP, CLEAN]))
+    scored = scoring.scored(frame(spark, [MACHINE, CLEAN]))
     rows = {r.doc_id: r for r in scoring.reports(scored).collect()}
     assert rows[0].categories[0].points == max(c.points for c in rows[0].categories) and rows[0].topHits[0].category == rows[0].categories[0].category
     assert rows[1].categories is None

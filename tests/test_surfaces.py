@@ -4,7 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from test_engine import CLEAN, SLOP
+from test_engine import CLEAN, MACHINE
 
 from lexilake.operators import linting, scoring
 from lexilake.plans import api, config, corpus
@@ -57,11 +57,11 @@ def test_corpus_json(spark, tmp_path):
 def test_config(tmp_path):
     sub = tmp_path / "sub"
     sub.mkdir()
-    (tmp_path / ".sloprc.json").write_text('{"threshold": 30, "rules": {"ai_vocabulary": 1}}')
+    (tmp_path / ".lexilakerc.json").write_text('{"threshold": 30, "rules": {"ai_vocabulary": 1}}')
     got, source = config.resolve(config.Flags(threshold=40, only=["ai_vocabulary", "copula_avoidance"], rules={"rule_of_three": "error", "business_jargon": "warn"}, min_tier="medium"), sub)
-    assert source.endswith(".sloprc.json") and got["threshold"] == 40
+    assert source.endswith(".lexilakerc.json") and got["threshold"] == 40
     assert got["rules"]["rule_of_three"] == "error" and got["rules"]["business_jargon"] == "off" and got["rules"]["ai_vocabulary"] == "off"
-    (sub / "package.json").write_text('{"aiTextPatterns": {"rules": {"nope": 1}}}')
+    (sub / "package.json").write_text('{"lexilake": {"rules": {"nope": 1}}}')
     with pytest.raises(config.ConfigError, match="nope"):
         config.resolve(None, sub)
     assert config.resolve(config.Flags(no_config=True), sub)[0]["threshold"] is None
@@ -73,6 +73,8 @@ def test_config(tmp_path):
     for flags in (config.Flags(only=["x"]), config.Flags(rules={"x": "off"}), config.Flags(min_tier="x"), config.Flags(config="missing.json")):
         with pytest.raises(config.ConfigError):
             config.resolve(flags, sub)
+    (sub / ".otherrc").write_text('{"threshold": 7}')
+    assert config.resolve(None, sub, names=(".otherrc",), package_key="other")[0]["threshold"] == 7
     path = config.write_starter(sub)
     assert config.load(path)["threshold"] == 45
     with pytest.raises(config.ConfigError):
@@ -81,7 +83,7 @@ def test_config(tmp_path):
 
 @pytest.fixture(scope="module")
 def linted(spark):
-    docs = spark.createDataFrame([("a,b.md", SLOP), ("c.md", CLEAN)], "path string, text string")
+    docs = spark.createDataFrame([("a,b.md", MACHINE), ("c.md", CLEAN)], "path string, text string")
     return linting.lint(docs, threshold=50).cache()
 
 
@@ -160,14 +162,14 @@ def test_sweep_without_flags(spark):
 
 
 def test_lift(spark):
-    docs = spark.createDataFrame([(1, "ai", SLOP), (2, "human", CLEAN), (3, "human", "She played a vital role " + CLEAN)], "doc_id int, corpus string, text string")
+    docs = spark.createDataFrame([(1, "ai", MACHINE), (2, "human", CLEAN), (3, "human", "She played a vital role " + CLEAN)], "doc_id int, corpus string, text string")
     rows = {r.category: r for r in corpus.lift(scoring.scored(docs)).collect()}
     assert rows["ai_self_reference"].lift == float("inf") and rows["emoji_formatting"].lift == 0
     assert rows["significance_statements"].lift > 0
 
 
 def test_stream(spark, tmp_path):
-    docs = spark.createDataFrame([(1, SLOP), (2, CLEAN)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, MACHINE), (2, CLEAN)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
     source = stream.documents(spark, str(tmp_path / "in"), docs.schema, "*.parquet")
     stream.run_to_end(stream.findings(source), str(tmp_path / "out"), str(tmp_path / "state"))
