@@ -79,8 +79,9 @@ def category_results(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFram
         options.append(F.when(F.size(of) > 0, F.struct(F.lit(i).alias("ordinal"), F.lit(c.id).alias("category"), F.lit(c.label).alias("label"), F.lit(c.tier).alias("severity"), F.size(of).alias("count"), distinct.alias("distinct"), F.least(F.lit(c.cap), distinct * c.weight).alias("points"), per.alias("per1000Words"), F.lit(c.why).alias("why"), F.lit(c.caution).alias("caution"), first.alias("hits"))))
     got = F.filter(F.array(*options), lambda x: x.isNotNull())
     ranked = F.array_sort(got, lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).otherwise(a["ordinal"] - b["ordinal"]))
-    rows = scored_docs.where(F.size("hits") > 0).select(id_col, "raw", "hits", "word_count").select(id_col, F.posexplode(ranked).alias("rank", "r"))
-    return rows.select(id_col, "rank", "r.*")
+    rows = scored_docs.where(F.size("hits") > 0).select(id_col, "raw", "hits", "word_count")
+    # inline and not explode, for which the optimizer computes the array anew for each field asked for
+    return rows.select(id_col, F.inline(F.transform(ranked, lambda r, i: r.withField("rank", i.cast("int")))))
 
 
 def reports(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

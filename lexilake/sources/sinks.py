@@ -73,12 +73,14 @@ def github_report(linted: DataFrame, summary: Row) -> str:
 
 def sarif_results(linted: DataFrame) -> DataFrame:
     """(path, n, value): one SARIF result object for each finding; its rule is the category."""
-    rows = linted.select("path", "score", F.posexplode("findings").alias("n", "f"))
-    region = F.struct(F.col("f.line").alias("startLine"), F.col("f.column").alias("startColumn"), F.col("f.endColumn").alias("endColumn"), F.struct(F.col("f.match").alias("text")).alias("snippet"))
+    fields = ("line", "column", "endColumn", "match", "message", "help", "category", "severity", "tier", "pattern")
+    numbered = F.transform("findings", lambda x, i: F.struct(i.cast("int").alias("n"), *(x[k].alias(k) for k in fields)))
+    rows = linted.select("path", "score", F.inline(numbered))
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), F.col("endColumn").alias("endColumn"), F.struct(F.col("match").alias("text")).alias("snippet"))
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    message = F.struct(F.concat(F.col("f.message"), F.lit(" — "), F.col("f.help")).alias("text"))
-    level = F.when(F.col("f.severity") == "error", "error").otherwise("warning")
-    result = F.struct(F.col("f.category").alias("ruleId"), level.alias("level"), message.alias("message"), F.array(location).alias("locations"), F.struct(F.col("f.tier").alias("tier"), F.col("f.pattern").alias("pattern"), F.col("score").alias("documentScore")).alias("properties"))
+    message = F.struct(F.concat(F.col("message"), F.lit(" — "), F.col("help")).alias("text"))
+    level = F.when(F.col("severity") == "error", "error").otherwise("warning")
+    result = F.struct(F.col("category").alias("ruleId"), level.alias("level"), message.alias("message"), F.array(location).alias("locations"), F.struct(F.col("tier").alias("tier"), F.col("pattern").alias("pattern"), F.col("score").alias("documentScore")).alias("properties"))
     return rows.select("path", "n", F.to_json(result, _KEEP_NULLS).alias("value"))
 
 
