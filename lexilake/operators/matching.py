@@ -6,7 +6,7 @@ literals are derived from the pattern (``dialect.required``).
 Two engines give the same column. ``builtin`` is made of Spark's own functions. ``arrow`` is an Arrow
 function that finds all literals in one pass (Aho-Corasick, or plain searches where that library is
 missing) and runs a pattern on the documents that can match: a built-in expression has to search
-every text once for each literal, which measures some ten times slower (README), so it is the default.
+every text once for each literal, which measures some five times slower (README), so it is the default.
 """
 
 from __future__ import annotations
