@@ -7,7 +7,7 @@ code points, so a text with characters beyond U+FFFF is converted, and only such
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,6 +48,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def constants(values: Iterable[str]) -> Column:
+    """An array of fixed strings, given to the planner in one piece; it is folded to a literal."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f", -1)
+
+
 def blank_spans(x: Column, regex: str, worth: Callable[[Column], Column] | None = None) -> Column:
     """Blank each match in place. ``worth``: a cheap test that spares texts without any."""
 

@@ -105,29 +105,26 @@ def lint(docs: DataFrame, text_col: str = "text", rules: dict | Column | None =
     severity = severities(rules)
     out = matching.with_hits(docs, text_col, None, masking, composing)
     out = out.withColumn("word_count", text.word_count(F.col("norm"))).withColumn("metrics", metrics.metrics(F.col("raw"), F.col("norm")))
-    total = F.lit(0)
-    for _, points in scoring.category_points(F.col("hits"), False):
-        total = total + points
-    total = F.when(F.size("hits") > 0, total).otherwise(0) + metrics.bonus(F.col("metrics"))
+    total = scoring.total_points(F.col("hits"), False) + metrics.bonus(F.col("metrics"))
     out = out.withColumn("score", scoring.final_score(total, scoring.length_factor(F.greatest("word_count", F.lit(1))))).withColumn("band", scoring.band(F.col("score")))
     none = F.array().cast(f"array<{FINDING}>")
-    parts = []
-    for i, c in enumerate(CATEGORIES):
-        if isinstance(severity[i], str) and severity[i] == "off":
-            continue
+
+    def of_category(i: Column) -> Column:
         own = scoring.hits_of(F.col("hits"), i)
         if isinstance(max_hits_per_rule, Column):
             own = F.when(max_hits_per_rule > 0, F.slice(own, F.lit(1), max_hits_per_rule)).otherwise(own)
         elif max_hits_per_rule:
             own = F.slice(own, 1, max_hits_per_rule)
         placed = _placed(own)
-        placed = placed if overlaps else dedupe(placed)
-        parts.append(placed if isinstance(severity[i], str) else F.when(severity[i] != "off", placed).otherwise(none))
-    ids = F.array(*(F.array(*(F.lit(f"{c.id}/{p.id}") for p in c.patterns)) for c in CATEGORIES))
+        return placed if overlaps else dedupe(placed)
+
+    # one expression runs over the categories that are on and have hits
+    on = [F.when(s != "off", i) if isinstance(s, Column) else F.lit(i) for i, s in enumerate(severity) if isinstance(s, Column) or s != "off"]
+    ids = F.array(*(text.constants(f"{c.id}/{p.id}" for p in c.patterns) for c in CATEGORIES))
 
     def full(f: Column) -> Column:
         def pick(values):
-            return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), f["c"] + 1)
+            return F.element_at(F.array(*values) if isinstance(values[0], Column) else text.constants(values), f["c"] + 1)
 
         label = pick([c.label for c in CATEGORIES])
         cut = F.when(f["size"] > 60, F.concat(F.substring(f["match"], 1, 59), F.lit("…"))).otherwise(f["match"])
@@ -140,7 +137,7 @@ def lint(docs: DataFrame, text_col: str = "text", rules: dict | Column | None =
             pick([c.why for c in CATEGORIES]).alias("help"), pick([c.caution for c in CATEGORIES]).alias("caution"), f["k"].alias("k"),
         )
 
-    every = F.when(F.size("hits") > 0, F.flatten(F.array(*parts))).otherwise(none) if parts else none
+    every = F.flatten(F.transform(F.array_intersect(F.array(*on), F.col("hits.c")), of_category)) if on else none
     out = out.withColumn("findings", F.array_sort(F.transform(every, full), _by("line", "column", "ruleId", "k")))
     out = out.withColumn("findings", F.transform("findings", lambda f: f.dropFields("k")))
 

@@ -153,8 +153,8 @@ def with_hits(docs: DataFrame, text_col: str = "text", only: Iterable[str] | Non
 
 def exploded(docs_with_hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each hit: id, category, pattern, match, utf16 offset, ordinal."""
-    names = F.array(*(F.lit(c.id) for c in CATEGORIES))
-    ids = F.array(*(F.array(*(F.lit(p.id) for p in c.patterns)) for c in CATEGORIES))
+    names = text.constants(c.id for c in CATEGORIES)
+    ids = F.array(*(text.constants(p.id for p in c.patterns) for c in CATEGORIES))
     rows = docs_with_hits.select(id_col, "raw", F.posexplode("hits").alias("ordinal", "h"))
     return rows.select(id_col, F.element_at(names, F.col("h.c") + 1).alias("category"), F.element_at(F.element_at(ids, F.col("h.c") + 1), F.col("h.p") + 1).alias("pattern"), F.col("h.m").alias("match"), text.utf16_offset(F.col("raw"), F.col("h.off")).alias("offset"), "ordinal")
 

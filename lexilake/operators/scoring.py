@@ -31,7 +31,7 @@ def final_score(points: Column, factor: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(points * factor + 0.5))).cast("int")
 
 
-def hits_of(hits: Column, i: int) -> Column:
+def hits_of(hits: Column, i: int | Column) -> Column:
     return F.filter(hits, lambda h: h["c"] == i)
 
 
@@ -41,14 +41,20 @@ def shown(m: Column, cut: bool = True) -> Column:
     return F.substring(x, 1, CUT) if cut else x
 
 
-def distinct_count(hits: Column, i: int, cut: bool = True) -> Column:
+def distinct_count(hits: Column, i: int | Column, cut: bool = True) -> Column:
     return F.size(F.array_distinct(F.transform(hits_of(hits, i), lambda h: F.lower(shown(h["m"], cut)))))
 
 
-def category_points(hits: Column, cut: bool = True, only: Iterable[str] | None = None) -> list[tuple[str, Column]]:
-    """Points of each category, in catalogue order."""
-    chosen = [(i, c) for i, c in enumerate(CATEGORIES) if only is None or c.id in set(only)]
-    return [(c.id, F.least(F.lit(c.cap), distinct_count(hits, i, cut) * c.weight)) for i, c in chosen]
+def total_points(hits: Column, cut: bool = True) -> Column:
+    """Points of all categories together. One expression runs over the categories that have hits: one for
+    each of the twenty would take longer to plan than most texts take to score."""
+    caps, weights = (F.array(*(F.lit(getattr(c, name)) for c in CATEGORIES)) for name in ("cap", "weight"))
+
+    def points(i: Column) -> Column:
+        return F.least(F.element_at(caps, i + 1), distinct_count(hits, i, cut) * F.element_at(weights, i + 1))
+
+    present = F.array_distinct(F.transform(hits, lambda h: h["c"]))
+    return F.aggregate(present, F.lit(0), lambda total, i: total + points(i))
 
 
 def scored(docs: DataFrame, text_col: str = "text", only: Iterable[str] | None = None, masking: bool = True, composing: bool = True) -> DataFrame:
@@ -57,12 +63,7 @@ def scored(docs: DataFrame, text_col: str = "text", only: Iterable[str] | None =
     only = None if only is None else list(only)
     out = matching.with_hits(docs, text_col, only, masking, composing)
     out = out.withColumn("word_count", text.word_count(F.col("norm"))).withColumn("metrics", metrics.metrics(F.col("raw"), F.col("norm")))
-    # a text without any hit, the usual case, skips the twenty counts
-    total = F.lit(0)
-    for _, points in category_points(F.col("hits"), True, only):
-        total = total + points
-    total = F.when(F.size("hits") > 0, total).otherwise(0)
-    out = out.withColumn("raw_score", total + metrics.bonus(F.col("metrics")))
+    out = out.withColumn("raw_score", total_points(F.col("hits")) + metrics.bonus(F.col("metrics")))
     factor = F.when(F.col("word_count") > 0, length_factor(F.col("word_count"))).otherwise(1.0)
     return out.withColumn("score", final_score(F.col("raw_score"), factor)).withColumn("band", band(F.col("score")))
 
@@ -70,14 +71,24 @@ def scored(docs: DataFrame, text_col: str = "text", only: Iterable[str] | None =
 def category_results(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each document and category with hits: label, tier, count, distinct, points, hits per
     1000 words, rank by points (ties in catalogue order), the first 25 hits."""
-    options = []
-    for i, c in enumerate(CATEGORIES):
+    def pick(values, i: Column) -> Column:
+        return F.element_at(text.constants(values), i + 1)
+
+    names = F.array(*(text.constants(p.id for p in c.patterns) for c in CATEGORIES))
+    caps, weights = (F.array(*(F.lit(getattr(c, name)) for c in CATEGORIES)) for name in ("cap", "weight"))
+
+    def result(i: Column) -> Column:
         of = hits_of(F.col("hits"), i)
-        first = F.transform(F.slice(of, 1, 25), lambda h: F.struct(F.element_at(F.array(*(F.lit(p.id) for p in c.patterns)), h["p"] + 1).alias("pattern"), shown(h["m"]).alias("match"), text.utf16_offset(F.col("raw"), h["off"]).alias("index")))
+        first = F.transform(F.slice(of, 1, 25), lambda h: F.struct(F.element_at(F.element_at(names, i + 1), h["p"] + 1).alias("pattern"), shown(h["m"]).alias("match"), text.utf16_offset(F.col("raw"), h["off"]).alias("index")))
         distinct = distinct_count(F.col("hits"), i)
+        points = F.least(F.element_at(caps, i + 1), distinct * F.element_at(weights, i + 1))
         per = metrics.fixed(F.size(of) * F.when(F.col("word_count") > 0, 1000 / F.col("word_count")).otherwise(0.0), 2)
-        options.append(F.when(F.size(of) > 0, F.struct(F.lit(i).alias("ordinal"), F.lit(c.id).alias("category"), F.lit(c.label).alias("label"), F.lit(c.tier).alias("severity"), F.size(of).alias("count"), distinct.alias("distinct"), F.least(F.lit(c.cap), distinct * c.weight).alias("points"), per.alias("per1000Words"), F.lit(c.why).alias("why"), F.lit(c.caution).alias("caution"), first.alias("hits"))))
-    got = F.filter(F.array(*options), lambda x: x.isNotNull())
+        words = {"category": "id", "label": "label", "severity": "tier"}
+        notes = {"why": "why", "caution": "caution"}
+        said = [[pick([getattr(c, k) for c in CATEGORIES], i).alias(name) for name, k in some.items()] for some in (words, notes)]
+        return F.struct(i.alias("ordinal"), *said[0], F.size(of).alias("count"), distinct.alias("distinct"), points.alias("points"), per.alias("per1000Words"), *said[1], first.alias("hits"))
+
+    got = F.transform(F.array_sort(F.array_distinct(F.col("hits.c"))), result)
     ranked = F.array_sort(got, lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).otherwise(a["ordinal"] - b["ordinal"]))
     rows = scored_docs.where(F.size("hits") > 0).select(id_col, "raw", "hits", "word_count")
     # inline and not explode, for which the optimizer computes the array anew for each field asked for
