@@ -10,9 +10,10 @@ exponential keys, -ln(u) / quality, u from a hash of the document's id: whole do
 their running total stays within the rest, and of the one at the boundary the words that are
 left, so a source's taken words equal its target rounded down.
 
-The running total is two-level: keys are cut into buckets, more for sources with more documents,
-so that a source with a third of all rows spreads over many tasks; bucket totals (a few thousand
-documents each) are summed in order per source and the running sum within a bucket starts from there.
+The running total is two-level: rows are dealt into ranges of (source, key) of about equal size,
+whatever the keys' distribution, so that a source with a third of all rows, or one whose documents all have
+the same small quality, spreads over many tasks; range totals are summed in order per source and the
+running sum within a range starts from there. The result does not depend on where the ranges end.
 
 Defined results: null text: size 0, nothing taken; null source: a source of its own; null quality, or
 one that is not positive: 1e-6. Rows are independent; rows that repeat an id take part each, ties
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WEIGHTS = (3, 1, 2)
-BUCKET_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,13 +66,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = targets(sized, weights, percent, most)
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = sized.withColumn("key", -F.log(u) / F.col("quality"))
-    keyed = keyed.join(per, keyed.source.eqNullSafe(per.source)).drop(per.source)
-    keyed = keyed.withColumn("bucket", F.floor(F.ceil(F.col("n") / BUCKET_ROWS) * (1 - F.exp(-F.col("key")))))
+    # the number of a row's range is written with it, so that no later plan deals rows anew
+    keyed = written(keyed.repartitionByRange(F.col("source").asc_nulls_last(), "key", "doc_id", "size").withColumn("bucket", F.spark_partition_id()), "keyed")
     inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     outer = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("ts"), F.col("bucket").alias("tb"), F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("ahead"))
+    totals = totals.join(per.withColumnRenamed("source", "ps"), F.col("ts").eqNullSafe(F.col("ps"))).drop("ps")
     rows = within.join(totals, within.source.eqNullSafe(totals.ts) & (within.bucket == totals.tb))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")

@@ -3,6 +3,7 @@ empty tables and clashing columns."""
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -277,6 +278,20 @@ def test_mixing(spark, messy, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_takes_in_order_of_keys(spark):
+    """Brute force, with qualities that are null, tiny, equal or mixed within a source."""
+    rows = [(i, "ab"[i % 2] if i % 7 else None, "w " * (1 + i * 31 % 9), (None, 1e-9, 0.25, 1.0)[i % 4] if i % 2 else None) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string, q double").repartition(7), quality=F.col("q"), percent=40).collect()
+    keys = {i: -math.log((int(hashlib.md5(f"{i}mix".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / (q or 1e-6) for i, _, _, q in rows}
+    for source in ("a", "b", None):
+        own = sorted((r for r in got if r.source == source), key=lambda r: keys[r.doc_id])
+        epochs, left = int(own[0].target // own[0].source_size), int(own[0].target) % own[0].source_size
+        for r in own:
+            part = min(r["size"], left)
+            assert r.taken == epochs * r["size"] + part
+            left -= part
+
+
 def test_quality_raises_the_chance(spark):
     frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("five words in this text").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("q"))
     got = mixing.mix(frame, quality=F.col("q"), percent=30).where("taken > 0").groupBy((F.col("doc_id") % 2).alias("odd")).count().collect()
