@@ -3,10 +3,10 @@
 Grammar inference: for each credential format a prefix tree of labelled examples is reduced by
 merging states whose outgoing and final frequencies are statistically compatible (Hoeffding
 bound, recursively over successors), in red-blue order, the most frequent state first. The result is a deterministic
-probabilistic automaton. Every candidate, a run of credential characters, is scored by its
-log-likelihood ratio against a uniform background under each automaton; candidates outside the
-lengths that an automaton was shown have likelihood 0. Spans above the bound are added to the
-base spans; base spans always stay.
+probabilistic automaton. Candidates begin at every place of a run of credential characters at which an
+automaton can be entered and are scored by their log-likelihood ratio against a uniform background; the
+likeliest end counts. Lengths outside those that an automaton was shown have likelihood 0, but open-ended
+formats have no greatest length. Spans above the bound are added to the base spans; base spans always stay.
 
 Spans are in code points of the whole text, end exclusive. Defined results: null text counts as
 empty, with no spans and the digest of the empty string. Rows are independent.
@@ -41,6 +41,11 @@ _NOT_CANDIDATE[list(CANDIDATE)] = False
 MIN_CANDIDATE = 16
 #: Bits by which a format must explain a candidate better than the background.
 MIN_BITS = 12.0
+#: A walk that is so many bits below the background, more than five unseen transitions, is given up.
+HOPELESS_BITS = 40.0
+#: Formats whose parts have no greatest length: payloads, RSA signatures, longer account keys.
+OPEN_ENDED = ("jwt", "stripe")
+TAIL = 8
 
 _ALNUM = string.ascii_letters + string.digits
 #: Publicly documented credential formats, as literal parts and (alphabet, least,
@@ -170,9 +175,15 @@ class Automata:
     start: np.ndarray
     least: np.ndarray
     most: np.ndarray
+    enters: np.ndarray  # kind, byte -> whether an example starts with it
+    shown: np.ndarray  # kind, byte -> whether an example holds it
+    tail: np.ndarray  # kind, byte -> whether it is among the last TAIL bytes of an example
+    delimiter: np.ndarray  # kind, byte -> whether it is shown, but not in a tail
+    sections: list[list[tuple[int, int]]]  # kind -> least and greatest lengths between delimiters; empty where their number varies
+    open: np.ndarray  # kind -> whether lengths above those shown are allowed
 
 
-def infer(examples: dict[str, list[str]], alpha: float = 0.02, floor: float = 1e-4) -> Automata:
+def infer(examples: dict[str, list[str]], alpha: float = 0.02, floor: float = 1e-4, open_ended: tuple[str, ...] = OPEN_ENDED) -> Automata:
     """One automaton for each kind, stacked into common tables. An unseen transition costs the
     floor probability and stays in its state."""
     kinds = list(examples)
@@ -192,7 +203,21 @@ def infer(examples: dict[str, list[str]], alpha: float = 0.02, floor: float = 1e
             bits.append(cost)
             final.append(math.log2(max(floor, tree.ends[s] / total)))
     size = [[len(x) for x in examples[k]] for k in kinds]
-    return Automata(kinds, np.stack(step), np.stack(bits).astype(np.float32), np.array(final, np.float32), np.array(start), np.array([min(s) for s in size]), np.array([max(s) for s in size]))
+
+    def bytes_of(part) -> np.ndarray:
+        out = np.zeros((len(kinds), 256), bool)
+        for i, k in enumerate(kinds):
+            out[i, list({ord(c) for x in examples[k] for c in part(x)})] = True
+        return out
+
+    shown, tail, sections = bytes_of(lambda x: x), bytes_of(lambda x: x[-TAIL:]), []
+    for i, k in enumerate(kinds):
+        parts = [[len(y) for y in re.split("[" + re.escape("".join(map(chr, np.flatnonzero(shown[i] & ~tail[i])))) + "]", x)] if (shown[i] & ~tail[i]).any() else [len(x)] for x in examples[k]]
+        sections.append([(min(y), max(y)) for y in zip(*parts)] if len({len(y) for y in parts}) == 1 else [])
+    return Automata(
+        kinds, np.stack(step), np.stack(bits).astype(np.float32), np.array(final, np.float32), np.array(start), np.array([min(s) for s in size]), np.array([max(s) for s in size]),
+        bytes_of(lambda x: x[:1]), shown, tail, shown & ~tail, sections, np.array([k in open_ended for k in kinds]),
+    )
 
 
 @lru_cache(maxsize=1)
@@ -200,26 +225,94 @@ def default_automata() -> Automata:
     return infer(labelled_credentials())
 
 
-def format_scores(a: Automata, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best kind (-1: no automaton allows the length) and its bits for each candidate."""
-    best, kind = np.full(len(start), -np.inf, np.float32), np.full(len(start), -1)
-    size = end - start
+def _lengths(a: Automata, k: int, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest length of a span from each start to ``stop`` at most (none where the first is above the
+    second): with the delimiters and lengths of the kind's examples, or any greater lengths of an
+    open-ended kind, in which a byte that no example shows ends the span."""
+    if a.open[k]:
+        strange = np.append(np.flatnonzero(~a.shown[k][data]), len(data))
+        stop = np.minimum(stop, strange[np.searchsorted(strange, start)])
+    low, high, most = np.full(len(start), a.least[k]), stop - start, np.iinfo(np.int64).max if a.open[k] else a.most[k]
+    sections = a.sections[k]
+    if len(sections):
+        cut = np.concatenate((np.flatnonzero(a.delimiter[k][data]), np.full(len(sections) + 1, len(data))))
+        first, fits, at = np.searchsorted(cut, start), np.ones(len(start), bool), start
+        for i, (short, long) in enumerate(sections):
+            end = np.minimum(cut[first + i], stop) if i == len(sections) - 1 else cut[first + i]
+            if i == len(sections) - 1:
+                low, high = np.maximum(low, at - start + short), end - start
+                high = high if a.open[k] else np.minimum(high, at - start + long)
+            else:
+                fits &= (end < stop) & (end - at >= short) & (a.open[k] | (end - at <= long))
+            at = end + 1
+        high = np.where(fits, high, 0)
+    return low, np.minimum(high, most)
+
+
+def _walks(a: Automata, k: int, data: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best end of a walk from each start, at a length from ``low`` to ``high``, and its bits, -inf without one."""
+    n = len(start)
+    best, end = np.full(n, -np.inf, np.float32), start.copy()
+    state, total, alive = np.full(n, a.start[k]), np.zeros(n, np.float32), np.ones(n, bool)
+    seen = None  # at each byte, the last walk to pass it, once walks are long: state, bits, walk
+    live, i = np.flatnonzero(low <= high), 0
+    while len(live):
+        c = data[start[live] + i]
+        total[live] += a.bits[state[live], c]
+        state[live] = a.step[state[live], c]
+        i += 1
+        bits = total[live] + a.final[state[live]]
+        ok = (i >= low[live]) & (bits > best[live])
+        best[live[ok]], end[live[ok]] = bits[ok], start[live[ok]] + i
+        live = live[(high[live] > i) & (total[live] > -HOPELESS_BITS)]
+        if a.open[k] and i >= 64 and len(live) > 1:
+            # walks that meet in one state with the same end have one future: the likelier goes on, the earlier of equal ones
+            if seen is None:
+                seen = np.full(len(data) + 1, -1), np.zeros(len(data) + 1, np.float32), np.zeros(len(data) + 1, np.int64)
+            at = start[live] + i
+            other = seen[2][at]
+            met = (seen[0][at] == state[live]) & (start[other] + low[other] == start[live] + low[live]) & (start[other] + high[other] == start[live] + high[live])
+            wins = total[live] >= seen[1][at]
+            alive[other[met & wins]] = False
+            alive[live[met & ~wins]] = False
+            seen[0][at], seen[1][at], seen[2][at] = state[live], total[live], live
+            live = live[alive[live]]
+    return end, best
+
+
+def format_spans(a: Automata, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, end, kind, bits) of the spans above the bound in the runs from ``start`` to ``stop``, from every place
+    at which an automaton can be entered. An end goes on over the bytes of the kind's tails as far as the
+    lengths allow. Of overlapping spans of one kind the likeliest stays; of different kinds a weaker one
+    stays where it holds the stronger."""
+    size = stop - start
+    place = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+    last = np.repeat(stop, size)
+    found = []
     for k in range(len(a.kinds)):
-        some = np.flatnonzero((size >= a.least[k]) & (size <= a.most[k]))
-        if not len(some):
+        enters = a.enters[k][data[place]]
+        s, t = place[enters], last[enters]
+        low, high = _lengths(a, k, data, s, t)
+        some = np.flatnonzero(low <= high)
+        s, high = s[some], high[some]
+        e, bits = _walks(a, k, data, s, low[some], high)
+        for j in np.flatnonzero(bits >= MIN_BITS):
+            end, most = int(e[j]), int(s[j] + high[j])
+            rest = np.flatnonzero(~a.tail[k][data[end:most]])
+            found.append((int(s[j]), end + int(rest[0]) if len(rest) else most, k, float(bits[j])))
+    if not found:
+        return []
+    kept: list[tuple[int, int, int, float]] = []
+    covered = np.zeros((len(a.kinds), len(data)), bool)
+    first, after = np.full(len(data), len(data)), np.zeros(len(data), np.int64)  # least start and greatest end of the spans over a byte
+    for x in sorted(found, key=lambda x: (-x[3], x[0])):
+        part = slice(x[0], x[1])
+        if covered[x[2], part].any() or first[part].min() < x[0] or after[part].max() > x[1]:
             continue
-        some = some[np.argsort(-size[some], kind="stable")]
-        state, total = np.full(len(some), a.start[k]), np.zeros(len(some), np.float32)
-        sizes, left = size[some], len(some)
-        for i in range(int(sizes[0])):
-            left = int(np.searchsorted(-sizes, -i, "left"))  # those longer than i
-            c = data[start[some[:left]] + i]
-            total[:left] += a.bits[state[:left], c]
-            state[:left] = a.step[state[:left], c]
-        total += a.final[state]
-        better = total > best[some]
-        best[some[better]], kind[some[better]] = total[better], k
-    return kind, best
+        kept.append(x)
+        covered[x[2], part] = True
+        first[part], after[part] = x[0], x[1]
+    return kept
 
 
 def find(run: K.Run, a: Automata) -> list[list[tuple[int, int, str, bool]]]:
@@ -251,22 +344,15 @@ def find(run: K.Run, a: Automata) -> list[list[tuple[int, int, str, bool]]]:
     t = K.tokens(run, _NOT_CANDIDATE)
     long = np.flatnonzero(t.end - t.start >= MIN_CANDIDATE)
     if len(long):
-        start, end, doc = [], [], []
+        start, stop, doc = [], [], []
         for s, e, d in zip(t.start[long].tolist(), t.end[long].tolist(), t.doc[long].tolist()):
-            if b"=" in raw[s:e]:
-                for m in re.finditer(rb"[^=]{%d,}" % MIN_CANDIDATE, raw[s:e]):
-                    start.append(s + m.start())
-                    end.append(s + m.end())
-                    doc.append(d)
-            else:
-                start.append(s)
-                end.append(e)
+            for m in re.finditer(rb"[^=]{%d,}" % MIN_CANDIDATE, raw[s:e]):
+                start.append(s + m.start())
+                stop.append(s + m.end())
                 doc.append(d)
-        end = [s + len(raw[s:e].rstrip(b"./+")) for s, e in zip(start, end)]
-        start, end = np.array(start, np.int64), np.array(end, np.int64)
-        kind, bits = format_scores(a, run.data, start, end)
-        for i in np.flatnonzero((kind >= 0) & (bits >= MIN_BITS)):
-            out[doc[i]].append((int(start[i]), int(end[i]), a.kinds[kind[i]], False))
+        start, stop = np.array(start, np.int64), np.array(stop, np.int64)
+        for s, e, k, _ in format_spans(a, run.data, start, stop) if len(start) else ():
+            out[doc[int(np.searchsorted(start, s, "right")) - 1]].append((s, e, a.kinds[k], False))
     order = {k: i for i, k in enumerate((*BASE_KINDS, *a.kinds))}
     for spans in out:
         spans.sort(key=lambda x: (x[0], order[x[2]], x[1]))
