@@ -51,3 +51,17 @@ def test_hard_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()) == [(False, 1), (False, 2), (True, 0)]
     assert corpus_pipeline.mixture(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_of_one_id_are_decided_by_text(spark):
+    """Rows without an id stay whether or not an id repeats; a text of its own stays whatever its id's other rows are."""
+    alike, near = [" ".join(f"w{i}" for i in range(k)) for k in (100, 102)]
+    own, other = [" ".join(f"{c}{i}" for i in range(40)) for c in "xy"]
+    rows = [(1, alike, 1), (5, alike, 2), (5, own, 3), (5, own, 4), (7, near, 5), (7, None, 6), (7, None, 7), (8, other, 8), (8, other.upper(), 9), (None, own, 10), (None, own, 11), (None, None, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag int")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect())
+    assert got == sorted([(1, alike), (5, own), (7, ""), (8, other), (0, own), (0, own), (0, "")])
+    single = docs.where("tag IN (1, 5, 6, 10, 11, 12)").where("tag != 6")
+    assert sorted(r.tag for r in corpus_pipeline.near_duplicates(spark, single, SF).collect()) == [1, 10, 11, 12]
