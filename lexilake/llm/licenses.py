@@ -1,6 +1,7 @@
 """License scans by canonical digest lookup. DataFrame functions only on the main path.
 
-A text's canonical form drops copyright lines, turns every run of characters other than letters
+A text's canonical form drops copyright lines (in one form every line that begins with the word or sign, as in the
+digests of long licences, in another, looked up too, only statements with a sign or year), turns every run of characters other than letters
 and digits into one blank, lower-cases, and replaces equivalent spellings. Entire texts are
 compared by the digest of that form: the whole document, and each of its lines taken as a text of its
 own (short notices stand on a line). Digests are hash-joined with those of known licences.
@@ -34,17 +35,27 @@ SPELLINGS = (
 PHRASES = (("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("per cent", "percent"), ("sub licence", "sublicence"))
 
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:[Cc]opyright|COPYRIGHT|\([Cc]\)|©)[^\n]*$"
+#: Copyright statements alone: the word or sign with a sign, a year or a place for one, up to the line's end or a notice.
+COPYRIGHT_STATEMENT = (
+    r"(?m)^[ \t#*/;-]*(?:(?:[Cc]opyright|COPYRIGHT)[ \t:,]*(?:\([Cc]\)|©|[0-9]{4}|[\[<{])|(?:\([Cc]\)|©)[ \t]*(?:[Cc]opyright|COPYRIGHT|[0-9]{4}|[\[<{])|©)"
+    r"[^\n]*?(?=$|\b(?:Released|Licen[sc]ed|SPDX-License-Identifier|This work|Permission)\b)"
+)
 COPYRIGHT_SIGNS = ("opyright", "COPYRIGHT", "(C)", "(c)", "©")
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
-def _words(text: Column) -> Column:
-    """Lower-cased words, lines kept, with single words spelt one way: each line begins and ends with
-    a blank. The classes mean the same in other SQL engines."""
+def _signed(text: Column) -> Column:
+    """Whether a text can hold a copyright line: plain searches spare most texts the line-wise patterns."""
     sign = F.lit(False)
-    for x in COPYRIGHT_SIGNS:  # plain searches spare most texts the line-wise pattern
+    for x in COPYRIGHT_SIGNS:
         sign = sign | F.contains(text, F.lit(x))
-    body = F.when(sign, F.regexp_replace(text, COPYRIGHT_LINE, "")).otherwise(text)
+    return sign
+
+
+def _words(text: Column, dropped: str = COPYRIGHT_LINE) -> Column:
+    """Lower-cased words, lines kept, with single words spelt one way: each line begins and ends with
+    a blank. The classes mean the same in other SQL engines."""
+    body = F.when(_signed(text), F.regexp_replace(text, dropped, "")).otherwise(text)
     form = F.lower(F.regexp_replace(body, NOT_WORD, " "))
     form = F.concat(F.lit(" "), F.replace(form, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
@@ -62,14 +73,15 @@ def _form(words: Column, one_line: Column | None = None) -> Column:
     return F.trim(form)
 
 
-def canonical(text: Column) -> Column:
-    return _form(_words(text))
+def canonical(text: Column, dropped: str = COPYRIGHT_LINE) -> Column:
+    return _form(_words(text, dropped))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """(digest, license_id), one row for each distinct canonical form: the smallest id wins a tie.
     Rows of ``known`` have a text or, where the text is long, the digest of its canonical form."""
-    rows = known.select("license_id", canonical(F.col("text")).alias("c"), "digest")
+    forms = F.array_distinct(F.array(canonical(F.col("text")), canonical(F.col("text"), COPYRIGHT_STATEMENT)))
+    rows = known.select("license_id", F.explode(forms).alias("c"), "digest")
     rows = rows.where("digest IS NOT NULL OR c != ''")
     return rows.groupBy(F.coalesce("digest", F.sha2("c", 256)).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -85,9 +97,11 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         digests = F.broadcast(digests)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    words = docs.select(F.col(id_col).cast("long").alias("id"), _words(F.col(text_col).cast("string")).alias("words")).where("words IS NOT NULL")
-    parts = words.select("id", F.posexplode(F.concat(F.array("words"), F.split("words", "\n"))).alias("place", "words"))
-    parts = parts.select("id", (F.col("place") == 0).alias("whole"), _form(F.col("words"), F.col("place") > 0).alias("form")).where("form != ''")
+    text = F.col(text_col).cast("string")
+    words = docs.select(F.col(id_col).cast("long").alias("id"), _words(text).alias("words"), F.when(_signed(text), _words(text, COPYRIGHT_STATEMENT)).alias("signed")).where("words IS NOT NULL")
+    both = F.when(F.col("signed").isNull(), F.concat(F.array("words"), F.split("words", "\n"))).otherwise(F.concat(F.array("words", "signed"), F.split("signed", "\n")))
+    parts = words.select("id", F.when(F.col("signed").isNull(), 1).otherwise(2).alias("wholes"), F.posexplode(both).alias("place", "words"))
+    parts = parts.select("id", (F.col("place") < F.col("wholes")).alias("whole"), _form(F.col("words"), F.col("place") >= F.col("wholes")).alias("form")).where("form != ''")
     found = parts.select("id", "whole", F.sha2("form", 256).alias("digest")).join(digests, "digest")
     line = F.when(~F.col("whole"), F.col("license_id"))
     found = found.groupBy("id").agg(F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"), F.count(line).alias("n"), F.array_join(F.array_sort(F.collect_set(line)), ",").alias("names"))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,23 @@ def test_components(spark):
 # 1 licences
 
 
+def test_licenses_wrapped(spark):
+    """Known texts wrapped at several widths, where body lines begin with the word copyright; notices beside a statement."""
+    known, rows, want = license_texts.known_licenses(spark), [], {}
+    for name, text in license_texts.TEXTS[:6]:
+        for width in (40, 60, 72, 76, 79, 100):
+            for head in ("", "Copyright (c) 2020 Some One\n\n", "Copyright 2011-2020, Some One <a@b.c>\n(c) 2021 Another\n\n", "# © Some One\n"):
+                want[len(rows)] = name
+                rows.append((len(rows), head + "\n".join(textwrap.fill(x, width, break_on_hyphens=False, break_long_words=False) for x in text.split("\n")), "", ""))
+    isc = dict(license_texts.TEXTS[:6])["ISC"].replace("above copyright", "above\ncopyright")
+    want[len(rows)] = "ISC"
+    rows.append((len(rows), isc, "", ""))
+    got = licenses.scan(docs_of(spark, rows), known).collect()
+    assert {r.doc_id: r.text_license for r in got} == want and not any(r.n_license_lines for r in got)
+    line = licenses.scan(docs_of(spark, [(1, "prose\nCopyright (c) 2020 Foo Inc. All rights reserved. Released under the MIT License.\nprose", "", ""), (1, "x\nReleased under the MIT License.", "", "")]), known).collect()
+    assert [(r.line_licenses, r.n_license_lines) for r in line] == [("MIT", 2)] * 2
+
+
 def test_licenses(spark, messy, empty):
     known = license_texts.known_licenses(spark)
     mit = dict(license_texts.TEXTS[::-1])["MIT"]
