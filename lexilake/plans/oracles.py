@@ -289,6 +289,7 @@ ORACLES: dict[str, str] = {
     "clean_wikitext": wiki(),
     "api_codes": f"SELECT doc_id AS request_id, {REQUEST} AS code, CASE {REQUEST} WHEN 'method_not_allowed' THEN 405 WHEN 'not_found' THEN 404 ELSE CASE WHEN {REQUEST} IS NULL THEN 200 ELSE 400 END END AS status FROM documents",
     "api_score": f"WITH {scores(cut=False, zero=1.6)} SELECT doc_id AS request_id, score, band, words FROM sc WHERE {REQUEST} IS NULL",
+    "api_score_all": f"WITH {scores(cut=False, zero=1.6)} SELECT doc_id AS request_id, 200 AS status, score, band, words FROM sc",
     "report_json": f"{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, score, errors FROM lc",
     "report_github": f"{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, '::error file=docs/a%3A' || doc_id || '.md,line=1,title=Score threshold::Document score ' || score || ' (' || band || ') is at or above the configured threshold.' AS value FROM lc WHERE score >= 25",
     "report_sarif": f"WITH RECURSIVE {views()}, {placed()}, {DEDUPED} SELECT category, CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END AS level, count(*) AS n FROM d GROUP BY 1, 2",

@@ -228,6 +228,13 @@ def api_score(spark, d):
     return rows.select("request_id", F.get_json_object("response", "$.score").cast("int").alias("score"), F.get_json_object("response", "$.band").alias("band"), F.get_json_object("response", "$.wordCount").cast("int").alias("words"))
 
 
+def api_score_all(spark, d):
+    """One valid request for each document; one that the API refuses has a null score."""
+    docs = planted.documents(spark, d)
+    rows = api.responses(docs.select(F.col("doc_id").alias("request_id"), F.lit("POST").alias("method"), F.lit("/v1/score").alias("path"), F.to_json(F.struct(F.col("text").alias("text"))).alias("body")))
+    return rows.select("request_id", "status", F.get_json_object("response", "$.score").cast("int").alias("score"), F.get_json_object("response", "$.band").alias("band"), F.get_json_object("response", "$.wordCount").cast("int").alias("words"))
+
+
 def rate_limit(spark, d):
     log = files.table(spark, d, "events").select(F.col("user_id").cast("string").alias("ip"), F.date_trunc("hour", "ts").cast("timestamp").alias("ts"))
     return api.rate_limited(log, 2).groupBy("ip").agg(F.count("*").alias("requests"), F.count_if("admitted").alias("admitted"))
@@ -282,6 +289,6 @@ QUERIES: dict[str, Query] = {
     "rules_list": rules_list, "pattern_index": pattern_index, "health": health, "self_test": self_test,
     "quantiles": quantiles, "threshold_sweep": threshold_sweep, "category_density": category_density, "category_lift": category_lift,
     "top_false_positives": top_false_positives, "bottom_misses": bottom_misses, "typography": typography,
-    "glob_match": glob_match, "clean_wikitext": clean_wikitext, "api_codes": api_codes, "api_score": api_score, "rate_limit": rate_limit,
+    "glob_match": glob_match, "clean_wikitext": clean_wikitext, "api_codes": api_codes, "api_score": api_score, "api_score_all": api_score_all, "rate_limit": rate_limit,
     "report_json": report_json, "report_github": report_github, "report_sarif": report_sarif, "report_pretty": report_pretty, "stream_score": stream_score,
 }

@@ -16,3 +16,9 @@ def test_agrees(spark, duck, name):
 
 def test_every_query_but_the_rate_limit_has_one():
     assert set(QUERIES) - set(ORACLES) == {"rate_limit"}
+
+
+def test_every_document_is_scored_through_the_api(spark):
+    rows, docs = QUERIES["api_score_all"](spark, SF).collect(), spark.read.parquet(f"{SF}/documents.parquet")
+    assert sorted(r.request_id for r in rows) == sorted(r.doc_id for r in docs.collect()) and {r.status for r in rows} == {200}
+    assert {tuple(r) for r in QUERIES["api_score"](spark, SF).collect()} <= {(r.request_id, r.score, r.band, r.words) for r in rows}
