@@ -7,21 +7,26 @@ Method
   2. Two small collections of ``side`` tuples of ``rows`` minhashes are computed. Table (i, j) is
      keyed by tuple i of the first with tuple j of the second: ``side``^2 tables from
      2 * side * rows minhashes instead of side^2 * 2 * rows.
-  3. Within a table's bucket, in order of id, each class is paired with the ``window`` classes before
-     it, so a bucket of at most ``window`` + 1 classes has all its pairs. Of a larger bucket every
-     member is also tied to the bucket's first.
+  3. Rows (table key, class) are dealt by ranges of (key, class), so that a bucket with a third of all
+     classes spreads over many tasks. Within a bucket each class is paired with the ``window`` classes
+     before it, so a bucket of at most ``window`` + 1 classes has all its pairs. The members of a larger
+     bucket, or of one that a range's end cuts, are also tied in a chain.
   4. Pairs are confirmed on full sets; components of the confirmed links.
-  5. Ties that still join different components form clusters. In a cluster every class outside its
-     largest component is compared with all classes of the cluster, block against block: a task holds
-     at most some ``BLOCK`` sets of either side and counts common shingles by an index, so no pairs are
-     listed. No pair that shares a bucket is left undecided unless both are in one component already,
-     where its link cannot change the result.
+  5. Ties that still join different components form clusters. An exact sieve makes them small: sets that
+     are similar enough share one of their rarest shingles (a prefix of each set, in any one order), so
+     only classes that do stay tied, and texts that have no more in common than a template fall apart.
+  6. In what is left of a cluster every class outside its largest component is compared with all classes
+     of the cluster, block against block: a task holds at most some ``BLOCK`` sets of either side and
+     counts common shingles by an index, so no pairs are listed. No pair that shares a bucket is left
+     undecided unless both are in one component already, where its link cannot change the result.
 
 Chance that a pair of similarity s shares no bucket: below 2 * (1 - s^rows)^side, which for the
-defaults is 2e-4 at s = 0.8 and 1e-5 at 0.85.
+defaults is 4e-4 at s = 0.8 and 2e-5 at 0.85. Chance that one does: at most (side * s^rows)^2, which is
+2e-6 at 0.05 and 9e-3 at 0.2.
 
 Defined results: null or wordless text: 0 shingles, alone in its component, kept. Null id: its
-component is null, kept. Rows that repeat an id share its component. Empty table: no rows.
+component is null, kept. Rows that repeat an id are one document: they share a component, which holds
+what any of their texts is linked with, and each keeps its own text's size. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -30,19 +35,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import components, written
+from .shared import components, dropped, holds, hot_keys, salted_join, slot_bits, slot_of, taken_slots, written
 
-FILTER_BITS = 22
 BLOCK = 128
+#: Slots in which the sieve counts shingles: 2^SIEVE_BITS counts travel to the executors.
+SIEVE_BITS = 20
+PAIR, TIE, HEAD, TAIL = 0, 1, 2, 3
 _rng = np.random.Generator(np.random.PCG64(77001))
 _MULT = _rng.integers(0, 2**64, 256, dtype=K.U64) | K.U64(1)
 _ADD = _rng.integers(0, 2**64, 256, dtype=K.U64)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two words of digest for each (non-empty) set."""
+    flat, cut = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
+    with np.errstate(over="ignore"):
+        return np.stack([np.add.reduceat(K.mix(flat ^ x), cut) for x in (K.U64(0), K.U64(0xA5A5A5A5A5A5A5A5))])
+
+
 def _signatures(sets: list[np.ndarray], rows: int, side: int) -> np.ndarray:
     """Tuple hashes, one row of 2 * side for each (non-empty) set."""
     out = np.empty((len(sets), 2 * side), K.U64)
@@ -62,11 +76,11 @@ def _signatures(sets: list[np.ndarray], rows: int, side: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int, side: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig): the set's size, a 128-bit digest of it, tuple hashes."""
+    """(doc_id, text_hash, n_shingles, d1, d2, sig): the set's size, a 128-bit digest of it, tuple hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for run in K.runs(b.column(1)):
+            for run in K.runs(b.column(2)):
                 sets = K.shingle_sets(run, words)
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
@@ -74,15 +88,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, rows: in
                 sig: list[bytes | None] = [None] * len(sets)
                 if len(full):
                     some = [sets[i] for i in full]
-                    flat, cut = np.concatenate(some), np.concatenate(([0], np.cumsum(size[full])))[:-1]
-                    with np.errstate(over="ignore"):
-                        d[0, full] = np.add.reduceat(K.mix(flat), cut)
-                        d[1, full] = np.add.reduceat(K.mix(flat ^ K.U64(0xA5A5A5A5A5A5A5A5)), cut)
+                    d[:, full] = _digests(some)
                     for i, s in zip(full, _signatures(some, rows, side)):
                         sig[i] = s.tobytes()
-                yield pa.record_batch([b.column(0).slice(run.lo, run.hi - run.lo), pa.array(size), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                own = [b.column(i).slice(run.lo, run.hi - run.lo) for i in (0, 1)]
+                yield pa.record_batch([*own, pa.array(size), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text).mapInArrow(work, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _bucket_rows(classes: DataFrame, side: int) -> DataFrame:
@@ -104,17 +117,18 @@ def _bucket_rows(classes: DataFrame, side: int) -> DataFrame:
 
 
 def _near_pairs(buckets: DataFrame, window: int, percent: int) -> DataFrame:
-    """Reads buckets in order and emits (tie = false, a, b) for pairs of the sliding window whose sizes
-    allow a link, and (tie = true, a, b) for the members b of a bucket larger than the window with its
-    first member a. Keeps ``window`` + 1 rows between batches, whatever a bucket's size."""
+    """Reads buckets in order and emits (kind, a, b): PAIR for pairs of the sliding window whose sizes
+    allow a link; TIE for neighbours in a bucket larger than the window and in the first and the last
+    bucket of a range, which other ranges may hold more of; HEAD and TAIL, with the key as a, for
+    the ends of those two. Keeps ``window`` + 1 rows between batches, whatever a bucket's size."""
 
-    def rows(tie, p):
+    def rows(kind, p):
         p = np.unique(p, axis=0)
-        return pa.record_batch([pa.array(np.full(len(p), tie)), pa.array(p[:, 0]), pa.array(p[:, 1])], ["tie", "a", "b"])
+        return pa.record_batch([pa.array(np.full(len(p), kind, np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1])], ["kind", "a", "b"])
 
     def work(batches):
         kept = np.zeros((3, 0), np.int64)  # key, rep, n of the tail of the last group
-        shift, head = 0, 0  # rank of the first kept row in its group; the group's first member
+        shift, opening = 0, None  # rank of the first kept row in its group; the range's first key
         for b in batches:
             if not b.num_rows:
                 continue
@@ -125,12 +139,13 @@ def _near_pairs(buckets: DataFrame, window: int, percent: int) -> DataFrame:
             np.not_equal(key[1:], key[:-1], out=new_group[1:])
             group = np.cumsum(new_group) - 1
             start = np.flatnonzero(new_group)
-            rank, first = np.arange(len(key)) - start[group], rep[start]
+            rank = np.arange(len(key)) - start[group]
             if old:
                 rank[group == 0] += shift
-                first[0] = head
             last = np.concatenate((start[1:], [len(key)])) - 1
-            big = rank[last] > window
+            if opening is None:
+                opening = key[0]
+                yield rows(HEAD, np.array([[key[0], rep[0]]]))
             pairs = []
             for k in range(1, window + 1):
                 if len(key) <= k:
@@ -143,48 +158,74 @@ def _near_pairs(buckets: DataFrame, window: int, percent: int) -> DataFrame:
                 at = at[100 * small >= percent * large]
                 pairs.append(np.stack((np.minimum(rep[at], rep[at - k]), np.maximum(rep[at], rep[at - k])), 1))
             if pairs and (p := np.concatenate(pairs)).size:
-                yield rows(False, p)
-            member = big[group] & (rank > 0)
-            if old and shift + old - 1 > window:
-                member[:old] = False  # told before
-            if member.any():
-                yield rows(True, np.stack((first[group[member]], rep[member]), 1))
+                yield rows(PAIR, p)
+            big = (rank[last] > window) | (key[start] == opening)
+            told = old and (shift + old - 1 > window or key[0] == opening)  # the kept rows are tied already
+            member = np.flatnonzero(big[group] & (rank > 0))
+            member = member[member >= (old if told else 0)]
+            if len(member):
+                yield rows(TIE, np.stack((rep[member - 1], rep[member]), 1))
             tail = max(start[-1], len(key) - window - 1)
-            kept, shift, head = np.stack((key[tail:], rep[tail:], n[tail:])), int(rank[tail]), int(first[-1])
+            kept, shift = np.stack((key[tail:], rep[tail:], n[tail:])), int(rank[tail])
+        if kept.shape[1]:
+            key, rep = kept[0], kept[1]
+            if shift + len(rep) - 1 <= window and len(rep) > 1 and key[0] != opening:
+                yield rows(TIE, np.stack((rep[:-1], rep[1:]), 1))
+            yield rows(TAIL, np.array([[key[-1], rep[-1]]]))
 
-    return buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(work, "tie boolean, a long, b long")
+    return buckets.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(work, "kind int, a long, b long")
 
 
-def _filter_bits(ids: DataFrame) -> bytes:
-    """A bit for each hash slot that some id takes: at most 2^FILTER_BITS slots by construction."""
-    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int").alias("s")).distinct()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[slots.toPandas()["s"].to_numpy(np.int64)] = True
-    return np.packbits(bits).tobytes()
+def _ties(found: DataFrame) -> DataFrame:
+    """(a, b) of neighbours in large buckets, also where the end of a range lies between them. A range has two
+    ends, so the window runs over two rows a task."""
+    ends = found.where(F.col("kind") >= HEAD).withColumn("before", F.lag(F.struct("kind", "b")).over(Window.partitionBy("a").orderBy("b", "kind")))
+    over = ends.where((F.col("kind") == HEAD) & (F.col("before.kind") == TAIL)).select(F.col("before.b").alias("a"), "b")
+    return found.where(F.col("kind") == TIE).select("a", "b").unionByName(over).where("a != b").distinct()
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, shingles) for documents among ``ids``. A fixed-size slot filter drops most others
-    before the join, so texts without candidates are not moved."""
-    bits = _filter_bits(ids)
+def shingle_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(rep, shingles) of the classes ``wanted`` (rep, id, d1), each by a document that has the class's set. A
+    slot filter, sized by the number of classes, drops most other documents before the join, so texts
+    without candidates are not moved."""
+    bits = slot_bits(wanted.count())
+    sent = docs.sparkSession.sparkContext.broadcast(taken_slots(wanted.select(slot_of(F.xxhash64("id"), bits).alias("s")), bits))
 
     def work(batches):
-        table = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(table[b.column(2).to_numpy(zero_copy_only=False)]))
+            b = b.filter(pa.array(holds(sent.value, b.column(2).to_numpy(zero_copy_only=False))))
             for run in K.runs(b.column(1)):
-                yield pa.record_batch([b.column(0).slice(run.lo, run.hi - run.lo), K.binary_array(K.shingle_sets(run, words))], ["id", "shingles"])
-
-    some = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL")
-    some = some.select("i", "t", F.pmod(F.xxhash64("i"), F.lit(1 << FILTER_BITS)).cast("int").alias("s"))
-    return some.mapInArrow(work, "id long, shingles binary").join(ids, "id", "left_semi")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+                sets = K.shingle_sets(run, words)
+                d = np.zeros(len(sets), K.U64)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    d[full] = _digests([sets[i] for i in full])[0]
+                yield pa.record_batch([b.column(0).slice(run.lo, run.hi - run.lo), pa.array(d.view(np.int64)), K.binary_array(sets)], ["id", "d1", "shingles"])
+
+    some = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    some = some.select("i", "t", slot_of(F.xxhash64("i"), bits).alias("s"))
+    sets = some.mapInArrow(work, "id long, d1 long, shingles binary").join(wanted, ["id", "d1"])
+    # rows that repeat an id and its set give one row; partial aggregation sees to most of them
+    return sets.select("rep", "shingles").dropDuplicates(["rep"])
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int, side: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: of rows (doc_id, text_hash, n_shingles, d1, d2, sig), and of classes (rep, d1, d2, id, first, n,
+    k, sig): a number, the digests, the least id, the least (id, text), the set's size, the number of rows. Wordless
+    texts are equal only to themselves. Rows without an id are in no class."""
+    alone = F.col("n_shingles") == 0
+    sig = signatures(docs, id_col, text_col, words, rows, side)
+    sig = written(sig.withColumn("d1", F.when(alone, F.xxhash64("doc_id", "text_hash")).otherwise(F.col("d1"))), "signatures")
+    least = (F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = sig.where("doc_id IS NOT NULL").groupBy("d1", "d2").agg(*least, F.first("n_shingles").alias("n"), F.count("*").alias("k"), F.first("sig").alias("sig"))
+    return sig, written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = written(pairs.selectExpr("explode(array(a, b)) AS id").distinct(), "ids")
-    sets = shingle_table(docs, ids, id_col, text_col, words)
-    both = pairs.join(sets.selectExpr("id AS b", "shingles AS sb"), "b").join(sets.selectExpr("id AS a", "shingles AS sa"), "a")
+    wanted = written(pairs.selectExpr("explode(array(a, b)) AS rep").distinct().join(classes.select("rep", "id", "d1"), "rep"), "wanted")
+    sets = shingle_table(docs, wanted, id_col, text_col, words)
+    both = pairs.join(sets.selectExpr("rep AS b", "shingles AS sb"), "b").join(sets.selectExpr("rep AS a", "shingles AS sa"), "a")
 
     def work(batches):
         for b in batches:
@@ -211,20 +252,62 @@ def _clusters(ties: DataFrame, group: DataFrame) -> DataFrame | None:
     if not open_ties.head(1):
         return None
     cluster = written(components(open_ties), "clusters").selectExpr("node AS comp", "component AS cluster")
-    linked = group.selectExpr("node AS rep", "component AS comp").join(cluster, "comp").select("rep", "comp", "cluster")
+    inside = group.selectExpr("node AS rep", "component AS comp")
+    hot = hot_keys(inside.groupBy("comp").agg(F.count("*").alias("k")), "comp", "k", inside.count())
+    linked = salted_join(inside, cluster, "comp", hot).select("rep", "comp", "cluster")
     single = cluster.join(group.select("node"), cluster.comp == group.node, "left_anti").selectExpr("comp AS rep", "comp", "cluster")
     return written(linked.unionByName(single), "members")
 
 
-def _block_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _sieve(sets: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) between classes of a cluster that share a shingle of their prefixes. In any one order of all
+    shingles, two sets whose intersection is ``percent`` of their union share one of the first
+    n - ceil(n * percent / 100) + 1 of each. Here rare ones come first, by counts in 2^SIEVE_BITS slots: shingles that
+    share a slot only make the order less sharp, never wrong. ``sets``: (cluster, rep, shingles)."""
+
+    def keys(cluster, shingles):
+        return K.mix(shingles ^ K.mix(np.array([cluster], np.int64).view(K.U64)))
+
+    def slots(key):
+        return (key >> K.U64(64 - SIEVE_BITS)).astype(np.int64)
+
+    def count(batches):
+        for b in batches:
+            with np.errstate(over="ignore"):
+                per = [slots(keys(c, np.frombuffer(s.as_buffer(), K.U64))) for c, s in zip(b.column(0).to_pylist(), b.column(1))]
+            if per:
+                slot, n = np.unique(np.concatenate(per), return_counts=True)
+                yield pa.record_batch([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+    got = sets.select("cluster", "shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(1 << SIEVE_BITS, np.int64)
+    table[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    sent = sets.sparkSession.sparkContext.broadcast(table)
+
+    def prefix(batches):
+        for b in batches:
+            out = []
+            for c, rep, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                with np.errstate(over="ignore"):
+                    key = keys(c, np.frombuffer(s.as_buffer(), K.U64))
+                n = sent.value[slots(key)]
+                first = np.lexsort((key, n))[: len(key) - -(-percent * len(key) // 100) + 1]
+                first = first[n[first] > 1]  # what no other set holds ties nothing
+                out.append(np.stack((key[first].view(np.int64), np.full(len(first), rep), np.full(len(first), len(key)))))
+            if out:
+                part = np.concatenate(out, 1)
+                yield pa.record_batch([pa.array(x) for x in part], ["key", "rep", "n"])
+
+    rows = sets.select("cluster", "rep", "shingles").mapInArrow(prefix, "key long, rep long, n long")
+    return _ties(written(_near_pairs(rows, 0, percent), "prefixes"))
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of different components of one cluster."""
     sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
     top = sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
-    top = top.select("cluster", F.col("m.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / BLOCK)).cast("int").alias("rb"))
-    sets = shingle_table(docs, members.select(F.col("rep").alias("id")), id_col, text_col, words)
-    # rows that repeat an id with another text stand for the id by one of their sets
-    sets = sets.groupBy("id").agg(F.max("shingles").alias("shingles"))
-    full = members.join(sets, members.rep == sets.id).join(top, "cluster")
+    top = written(top.select("cluster", "all", F.col("m.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / BLOCK)).cast("int").alias("rb")), "tops")
+    full = salted_join(members.join(sets, "rep"), top.drop("all"), "cluster", hot_keys(top, "cluster", "all", members.count()))
 
     def blocks(n):
         return F.sequence(F.lit(0), F.col(n) - 1)
@@ -258,21 +341,79 @@ def _block_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return every.unionByName(rest).groupBy("cluster", "m", "r").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 2, side: int = 9, window: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by
-    links of similarity >= percent), kept (doc_id = component_id)."""
-    sig = written(signatures(docs, id_col, text_col, words, rows, side), "signatures")
-    classes = sig.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-    found = written(_near_pairs(_bucket_rows(classes, side), window, percent), "found")
-    pairs = written(found.where("NOT tie AND a != b").select("a", "b").distinct(), "pairs")
-    links = written(confirmed(pairs, docs, id_col, text_col, words, percent), "links")
+def links_of(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, side: int, window: int) -> DataFrame:
+    """Written table of links (a, b) whose components are those of all links between classes that share a bucket."""
+    columns = (docs, id_col, text_col, words)
+    found = written(_near_pairs(_bucket_rows(classes.where("n > 0"), side), window, percent), "found")
+    pairs = written(found.where((F.col("kind") == PAIR) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "pairs")
+    links = written(confirmed(pairs, classes, *columns, percent), "links")
     group = written(components(links), "groups")
-    members = _clusters(found.where("tie AND a != b").select("a", "b").distinct(), group)
+    members = _clusters(_ties(found), group)
     if members is not None:
-        more = written(_block_links(members, docs, id_col, text_col, words, percent), "morelinks")
-        group = written(components(links.unionByName(more)), "groups")
-    named = classes.select("d1", "d2", "rep").join(group, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("comp"))
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    comp = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("comp"))
-    return out.select("doc_id", "n_shingles", comp.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        wanted = members.select("rep").join(classes.select("rep", "id", "d1"), "rep")
+        sets = written(shingle_table(docs, wanted, id_col, text_col, words), "sets")
+        members = _clusters(_sieve(members.join(sets, "rep").select("cluster", "rep", "shingles"), percent), group)
+        if members is not None:
+            links = links.unionByName(written(_block_links(members, sets, percent), "more"))
+    dropped(found, pairs, group)
+    return links
+
+
+def _component_of(classes: DataFrame, links: DataFrame, least: str) -> DataFrame:
+    """(d1, d2, k, rep, value): for each class the least value of column ``least`` in its component."""
+    group = written(components(links), "groups")
+    named = classes.select("rep", "d1", "d2", "k", least).join(group, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    named = written(named, "named")
+    per = written(named.groupBy("comp").agg(F.min(least).alias("value"), F.count("*").alias("size")), "least")
+    return salted_join(named.drop(least), per.select("comp", "value"), "comp", hot_keys(per, "comp", "size", named.count())).drop("comp")
+
+
+def _of_rows(sig: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with an id beside what is known of their class. A class with very many copies is split over tasks."""
+    named = written(named.withColumnRenamed("d2", "e2"), "values")
+    rows = sig.where("doc_id IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "d1", "d2")
+    return salted_join(rows, named, "d1", hot_keys(named, "d1", "k", sig.count())).where("d2 = e2")
+
+
+def _id_links(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of the texts of one id."""
+    rows = sig.where("doc_id IS NOT NULL").select("doc_id", "d1", "d2")
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo != hi").select("doc_id")
+    several = written(several, "repeated")
+    own = written(rows.join(several, "doc_id", "left_semi").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep"), "texts")
+    low = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("k"))
+    return salted_join(own, low.select("doc_id", "a"), "doc_id", hot_keys(low, "doc_id", "k", own.count())).selectExpr("a", "rep AS b").where("a != b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 3, side: int = 11, window: int = 4) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by
+    links of similarity >= percent), kept (doc_id = component_id)."""
+    sig, classes = classes_of(docs, id_col, text_col, words, rows, side)
+    links = links_of(classes, docs, id_col, text_col, words, percent, side, window)
+    named = _component_of(classes, links.unionByName(_id_links(sig, classes)), "id")
+    out = _of_rows(sig, named).select("doc_id", "n_shingles", F.col("value").alias("component_id"), (F.col("doc_id") == F.col("value")).alias("kept"))
+    none = sig.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(none)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 3, side: int = 11, window: int = 4) -> DataFrame:
+    """The rows of one document of each group, with all their columns. A document is an id with a text here: of each group
+    the one of least id (then least hash of the text) stays. Rows that repeat id and text are one document,
+    of which the least row stays; rows of one id with other texts are documents of their own; rows without
+    an id all stay. Every decision follows from the rows alone, not from whether ids repeat elsewhere."""
+    sig, classes = classes_of(docs, id_col, text_col, words, rows, side)
+    links = links_of(classes, docs, id_col, text_col, words, percent, side, window)
+    of = _of_rows(sig, _component_of(classes, links, "first")).groupBy("doc_id", "text_hash").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    first = (F.col("value.doc_id") == F.col("doc_id")) & (F.col("value.text_hash") == F.col("text_hash"))
+    marks = written(of.select("doc_id", "text_hash", first.alias("_first"), "n").where("NOT _first OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_first"), "marks")
+
+    def same(m: DataFrame):
+        return (docs[id_col].cast("long") == m["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == m["_hash"])
+
+    out = docs.join(marks, same(marks), "left_anti")
+    repeats = marks.where("_first")
+    if repeats.head(1):
+        row = F.struct(*(docs[c] for c in docs.columns))
+        again = docs.join(repeats, same(repeats)).groupBy(repeats["_id"], repeats["_hash"]).agg(F.min(row).alias("_row"))
+        out = out.unionByName(again.select("_row.*"))
+    return out

@@ -1,14 +1,22 @@
-"""Where operators keep written tables, and connected components over link tables."""
+"""Where operators keep written tables, joins that split hot keys, slot filters, and connected components
+over link tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
+#: A key is hot above so small a share of all rows: fewer than HOT_KEYS keys can be.
+HOT_KEYS = 4096
+#: Tasks over which a hot key's rows are dealt.
+SALTS = 64
+#: A slot filter has SLOTS_PER_KEY slots for each key, 2^LEAST_BITS at least and 2^MOST_BITS (128 MB) at most.
+SLOTS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 16, 30
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,16 +46,70 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """(key) of more than 1/HOT_KEYS of ``total`` rows. The counts add up to ``total`` at most, so that fewer
+    than HOT_KEYS keys come back and may be broadcast."""
+    return counts.where(F.col(count) > max(8.0, total / HOT_KEYS)).select(key).distinct()
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``. The rows of hot keys are dealt over SALTS tasks and the
+    table's rows of those keys copied to each, so that no task gets all rows of one key."""
+    known = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    others = [c for c in rows.columns if c != key]
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def slot_bits(keys: int) -> int:
+    """Bits of a slot number of a filter for so many keys."""
+    return min(MOST_BITS, max(LEAST_BITS, (SLOTS_PER_KEY * keys - 1).bit_length()))
+
+
+def slot_of(value: Column, bits: int) -> Column:
+    return F.pmod(value, F.lit(1 << bits))
+
+
+def taken_slots(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each slot number (``slots``: one long column) below 2^bits, eight to a byte. The bits are
+    put together in the executors; the driver gets 2^bits / 8 bytes, whatever the number of rows."""
+    name = slots.columns[0]
+    at = F.col(name) + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    out = np.zeros(max(4096, (1 << bits) // 8), np.uint8)
+    for b, m in parts.collect():
+        part = np.frombuffer(m, np.uint8)
+        out[(b - 1) * 4096 : (b - 1) * 4096 + len(part)] = part
+    return out
+
+
+def holds(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether each slot's bit is set."""
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b: long). Returns (node, component), the component
     being its smallest node; only nodes that have a link appear.
 
-    Alternating large-star and small-star steps; every step groups with partial aggregation and
-    joins, so a hub's neighbours are spread by skew-join splitting. Each round is written to the
-    shared folder. Links never reach the driver, only one row of counts per round."""
+    Alternating large-star and small-star steps, each a partial aggregation and a join in which a
+    hub's neighbours are split over tasks. Each step is written to the shared folder. Links never reach
+    the driver, only one row of counts per round."""
     edges = links.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
     edges = written(edges, "edges")
 
@@ -58,15 +120,21 @@ def components(links: DataFrame) -> DataFrame:
     for k in range(MAX_ROUNDS):
         if not now[0]:
             break
-        both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        edges = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").where("u != v").distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(low, "u").selectExpr("explode(array(named_struct('u', v, 'v', m), named_struct('u', u, 'v', m))) AS e")
-        edges = written(edges.select("e.u", "e.v").where("u != v").distinct(), f"round{k}")
+        # large star: every larger neighbour of u is tied to the least neighbour of u
+        both = edges.selectExpr("v AS u", "u AS w").unionByName(edges.selectExpr("u", "v AS w"))
+        low = both.groupBy("u").agg(F.min("w").alias("m"), F.count_if(F.col("w") > F.col("u")).alias("k")).where("k > 0").selectExpr("u", "least(u, m) AS m", "k")
+        star = salted_join(edges.selectExpr("v AS u", "u AS w"), low.select("u", "m"), "u", hot_keys(low, "u", "k", now[0]))
+        star = written(star.selectExpr("w AS u", "m AS v").where("u != v").distinct(), f"large{k}")
+        # small star: every smaller neighbour of u, and u, are tied to the least of them
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        tied = salted_join(star, low.select("u", "m"), "u", hot_keys(low, "u", "k", now[0]))
+        pair = F.inline(F.expr("array(named_struct('a', v, 'b', m), named_struct('a', u, 'b', m))"))
+        old, edges = edges, written(tied.select(pair).selectExpr("a AS u", "b AS v").where("u != v").distinct(), f"small{k}")
+        dropped(old, star)
         was, now = now, state(edges)
         if now == was:
             break
     else:
         raise RuntimeError(f"no fixed point in {MAX_ROUNDS} rounds")
-    return edges.selectExpr("u AS node", "v AS component").unionByName(edges.selectExpr("v AS node", "v AS component")).distinct()
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.selectExpr("u AS node", "v AS component").unionByName(roots)

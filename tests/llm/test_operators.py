@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexilake.llm import chat, decontaminate, features, kernel, language, license_texts, licenses, minhash, mixing, nbsvm, quality_rules, queries, secret_scan, warc
 from lexilake.llm.oracles import ORACLES
-from lexilake.llm.shared import components
+from lexilake.llm.shared import components, holds, hot_keys, salted_join, taken_slots
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, key string, digest string, id string, n string"
@@ -469,17 +469,71 @@ def test_near_duplicates_messy(spark, messy, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are one document, whose texts may lie in several classes."""
+    rows = [(3, LONG[:900]), (7, LONG[:900]), (7, LONG[2000:2900]), (9, LONG[2000:2890]), (9, None), (11, "alone here"), (11, "other words"), (12, None), (None, LONG[:900]), (None, LONG[:900])]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, [(i, t, "", "") for i, t in rows]), words=2).collect())
+    assert got == Counter([(3, 3, True)] + [(7, 3, False)] * 2 + [(9, 3, False)] * 2 + [(11, 11, True)] * 2 + [(12, 12, True)] + [(None, None, True)] * 2)
+
+
 def test_window_keeps_state_between_batches(spark):
-    """Batches of three rows: pairs and ties as with one batch."""
-    frame = spark.createDataFrame([(k, r, 10) for k, m in ((1, 3), (2, 9), (3, 1), (4, 20)) for r in range(k * 100, k * 100 + m)], "key long, rep long, n long")
+    """Batches of three rows: pairs and ties as with one batch; over several ranges no bucket falls apart."""
+    sizes = [(1, 3), (2, 9), (3, 1), (4, 20)]
+    frame = spark.createDataFrame([(k, r, 10) for k, m in sizes for r in range(k * 100, k * 100 + m)], "key long, rep long, n long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    ranges = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        got = {tuple(r) for r in minhash._near_pairs(frame, 4, 80).collect()}
+        for n in (1, 2, 5, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            found = minhash._near_pairs(frame, 4, 80)
+            pairs = {(r.a, r.b) for r in found.where("kind = 0").collect()}
+            ties = {(r.a, r.b) for r in minhash._ties(found).collect()}
+            every = {(k * 100 + a, k * 100 + b) for k, m in sizes for a in range(m) for b in range(a + 1, min(m, a + 5))}
+            chain = {(k * 100 + b - 1, k * 100 + b) for k, m in sizes if m > 5 for b in range(1, m)}
+            assert chain <= ties and pairs <= every and all(a // 100 == b // 100 and b == a + 1 for a, b in ties)
+            for k, m in sizes:  # what is not compared is tied
+                if any((a, b) not in pairs for a, b in every if a // 100 == k):
+                    assert {(k * 100 + b - 1, k * 100 + b) for b in range(1, m)} <= ties
+            assert n > 1 or pairs == every
+            lone = minhash._ties(minhash._near_pairs(frame, 0, 80))
+            assert {(r.a, r.b) for r in lone.collect()} == {(k * 100 + b - 1, k * 100 + b) for k, m in sizes for b in range(1, m)}
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = {(False, k * 100 + a, k * 100 + b) for k, m in ((1, 3), (2, 9), (4, 20)) for a in range(m) for b in range(a + 1, min(m, a + 5))}
-    want |= {(True, k * 100, k * 100 + b) for k, m in ((2, 9), (4, 20)) for b in range(1, m)}
-    assert got == want
+
+
+def test_sieve_keeps_every_link(spark):
+    """Templates fall apart, similar sets stay together: against all pairs."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    template = rng.integers(0, 2**63, 60)
+    sets = [np.unique(np.concatenate((template, rng.integers(0, 2**63, 40)))) for _ in range(40)]
+    sets += [np.unique(np.concatenate((sets[k % 5], rng.integers(0, 2**63, rng.integers(0, 26))))) for k in range(30)]
+    rows = [(1, i, x.astype(np.uint64).tobytes()) for i, x in enumerate(sets)]
+    ties = minhash._sieve(spark.createDataFrame(rows, "cluster long, rep long, shingles binary"), 80)
+    joined = {r.node: r.component for r in components(ties).collect()}
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(np.intersect1d(x, sets[j])) >= 80 * len(np.union1d(x, sets[j])):
+                assert joined[i] == joined[j]
+    assert len(set(joined.values())) > 1 or len(joined) < 45
+
+
+def test_salted_join(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 0), (3, 0), (3, 0)], "key long, x long")
+    table = spark.createDataFrame([(1, 10), (3, 30), (4, 40)], "key long, y long")
+    counts = rows.groupBy("key").agg(F.count("*").alias("k"))
+    hot = hot_keys(counts, "key", "k", rows.count())
+    assert [r.key for r in hot.collect()] == [1]
+    assert Counter(tuple(r) for r in salted_join(rows, table, "key", hot).collect()) == Counter([(1, i, 10) for i in range(300)] + [(3, 0, 30)] * 2)
+
+
+def test_slot_filter(spark):
+    for bits, slots in ((16, [0, 1, 65_535, 40_000, 40_000]), (20, list(range(5, 1 << 20, 977)))):
+        table = taken_slots(spark.createDataFrame([(s,) for s in slots], "s long"), bits)
+        assert len(table) == (1 << bits) // 8 and np.array_equal(np.flatnonzero(holds(table, np.arange(1 << bits))), sorted(set(slots)))
+    assert not holds(taken_slots(spark.createDataFrame([], "s long"), 16), np.arange(1 << 16)).any()
 
 
 # 10 decontamination

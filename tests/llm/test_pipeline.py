@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from conftest import SF
+from pyspark.sql import functions as F
 from test_operators import WORD, brute_components, brute_secrets
 
 from lexilake.llm import decontaminate, nbsvm
@@ -63,5 +64,9 @@ def test_rows_of_one_id_are_decided_by_text(spark):
     assert out.columns == docs.columns
     got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect())
     assert got == sorted([(1, alike), (5, own), (7, ""), (8, other), (0, own), (0, own), (0, "")])
+    clash = docs.withColumnsRenamed({"tag": "_id"}).withColumn("_hash", F.lit(1)).withColumn("_row", F.lit("x"))
+    out = corpus_pipeline.near_duplicates(spark, clash, SF)
+    assert out.columns == clash.columns and sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect()) == got
+    assert sorted(r["_id"] for r in out.collect() if r.doc_id == 7) == [6]
     single = docs.where("tag IN (1, 5, 6, 10, 11, 12)").where("tag != 6")
     assert sorted(r.tag for r in corpus_pipeline.near_duplicates(spark, single, SF).collect()) == [1, 10, 11, 12]
