@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import decontaminate, minhash, mixing, nbsvm, secret_scan
-from lexilake.llm.shared import new_folder, written
+from lexilake.llm.shared import new_folder
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS = 5
@@ -23,19 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, the one of least id, of each group. A document is an id with a text: rows that
     repeat both are one document, rows of one id with other texts are documents of their own. Rows
     without an id all stay."""
-    keyed = docs.where("doc_id IS NOT NULL")
-    if not keyed.groupBy("doc_id").count().where("count > 1").head(1):
-        found = minhash.near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-        gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-        return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti").select(*docs.columns)
-    # each document gets a number of its own, written, so that it stays the same
-    numbered = keyed.dropDuplicates(["doc_id", "text"]).select(F.monotonically_increasing_id().alias("_number"), F.struct(*docs.columns).alias("_row"))
-    numbered = written(numbered, "numbered")
-    found = minhash.near_duplicates(numbered.select("_number", "_row.text"), "_number", words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    order = numbered.select("_number", F.struct("_row.doc_id", F.xxhash64("_row.text").alias("hash"), "_number").alias("order"))
-    least = found.select(F.col("doc_id").alias("_number"), "component_id").join(order, "_number").groupBy("component_id").agg(F.min("order").alias("least"))
-    kept = numbered.join(least.select(F.col("least._number").alias("_number")), "_number", "left_semi").select("_row.*")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return minhash.keep_one(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
