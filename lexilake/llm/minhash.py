@@ -16,7 +16,7 @@ Method
      are similar enough share one of their rarest shingles (a prefix of each set, in any one order), so
      only classes that do stay tied, and texts that have no more in common than a template fall apart.
   6. In what is left of a cluster every class outside its largest component is compared with all classes
-     of the cluster, block against block: a task holds at most some ``BLOCK`` sets of either side and
+     of the cluster, block against block: a task holds at most some ``BLOCK`` and ``REST_BLOCK`` sets and
      counts common shingles by an index, so no pairs are listed. No pair that shares a bucket is left
      undecided unless both are in one component already, where its link cannot change the result.
 
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import components, dropped, holds, hot_keys, salted_join, slot_bits, slot_of, taken_slots, written
 
-BLOCK = 128
+#: Sets in a block of all classes of a cluster, and of those outside its largest component.
+BLOCK, REST_BLOCK = 64, 128
 #: Slots in which the sieve counts shingles: 2^SIEVE_BITS counts travel to the executors.
 SIEVE_BITS = 20
 PAIR, TIE, HEAD, TAIL = 0, 1, 2, 3
@@ -251,7 +252,7 @@ def _clusters(ties: DataFrame, group: DataFrame) -> DataFrame | None:
     open_ties = written(named(named(ties, "a"), "b").where("a != b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), "ties")
     if not open_ties.head(1):
         return None
-    cluster = written(components(open_ties), "clusters").selectExpr("node AS comp", "component AS cluster")
+    cluster = components(open_ties).selectExpr("node AS comp", "component AS cluster")
     inside = group.selectExpr("node AS rep", "component AS comp")
     hot = hot_keys(inside.groupBy("comp").agg(F.count("*").alias("k")), "comp", "k", inside.count())
     linked = salted_join(inside, cluster, "comp", hot).select("rep", "comp", "cluster")
@@ -306,7 +307,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Links (a, b) between classes of different components of one cluster."""
     sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
     top = sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
-    top = written(top.select("cluster", "all", F.col("m.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / BLOCK)).cast("int").alias("rb")), "tops")
+    top = written(top.select("cluster", "all", F.col("m.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / REST_BLOCK)).cast("int").alias("rb")), "tops")
     full = salted_join(members.join(sets, "rep"), top.drop("all"), "cluster", hot_keys(top, "cluster", "all", members.count()))
 
     def blocks(n):
@@ -347,32 +348,32 @@ def links_of(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     found = written(_near_pairs(_bucket_rows(classes.where("n > 0"), side), window, percent), "found")
     pairs = written(found.where((F.col("kind") == PAIR) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "pairs")
     links = written(confirmed(pairs, classes, *columns, percent), "links")
-    group = written(components(links), "groups")
+    group = components(links)
+    stars = group.selectExpr("node AS a", "component AS b")
     members = _clusters(_ties(found), group)
     if members is not None:
         wanted = members.select("rep").join(classes.select("rep", "id", "d1"), "rep")
         sets = written(shingle_table(docs, wanted, id_col, text_col, words), "sets")
         members = _clusters(_sieve(members.join(sets, "rep").select("cluster", "rep", "shingles"), percent), group)
         if members is not None:
-            links = links.unionByName(written(_block_links(members, sets, percent), "more"))
-    dropped(found, pairs, group)
-    return links
+            stars = stars.unionByName(written(_block_links(members, sets, percent), "more"))
+    dropped(found, pairs, links)
+    return stars
 
 
 def _component_of(classes: DataFrame, links: DataFrame, least: str) -> DataFrame:
-    """(d1, d2, k, rep, value): for each class the least value of column ``least`` in its component."""
-    group = written(components(links), "groups")
-    named = classes.select("rep", "d1", "d2", "k", least).join(group, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    """(d1, d2, rep, value): for each class the least value of column ``least`` in its component."""
+    group = components(links)
+    named = classes.select("rep", "d1", "d2", least).join(group, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
     named = written(named, "named")
     per = written(named.groupBy("comp").agg(F.min(least).alias("value"), F.count("*").alias("size")), "least")
     return salted_join(named.drop(least), per.select("comp", "value"), "comp", hot_keys(per, "comp", "size", named.count())).drop("comp")
 
 
-def _of_rows(sig: DataFrame, named: DataFrame) -> DataFrame:
+def _of_rows(sig: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
     """Rows with an id beside what is known of their class. A class with very many copies is split over tasks."""
-    named = written(named.withColumnRenamed("d2", "e2"), "values")
     rows = sig.where("doc_id IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "d1", "d2")
-    return salted_join(rows, named, "d1", hot_keys(named, "d1", "k", sig.count())).where("d2 = e2")
+    return salted_join(rows, named.withColumnRenamed("d2", "e2"), "d1", hot_keys(classes, "d1", "k", sig.count())).where("d2 = e2")
 
 
 def _id_links(sig: DataFrame, classes: DataFrame) -> DataFrame:
@@ -391,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig, classes = classes_of(docs, id_col, text_col, words, rows, side)
     links = links_of(classes, docs, id_col, text_col, words, percent, side, window)
     named = _component_of(classes, links.unionByName(_id_links(sig, classes)), "id")
-    out = _of_rows(sig, named).select("doc_id", "n_shingles", F.col("value").alias("component_id"), (F.col("doc_id") == F.col("value")).alias("kept"))
+    out = _of_rows(sig, classes, named).select("doc_id", "n_shingles", F.col("value").alias("component_id"), (F.col("doc_id") == F.col("value")).alias("kept"))
     none = sig.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(none)
 
@@ -403,7 +404,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     an id all stay. Every decision follows from the rows alone, not from whether ids repeat elsewhere."""
     sig, classes = classes_of(docs, id_col, text_col, words, rows, side)
     links = links_of(classes, docs, id_col, text_col, words, percent, side, window)
-    of = _of_rows(sig, _component_of(classes, links, "first")).groupBy("doc_id", "text_hash").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    of = _of_rows(sig, classes, _component_of(classes, links, "first")).groupBy("doc_id", "text_hash").agg(F.first("value").alias("value"), F.count("*").alias("n"))
     first = (F.col("value.doc_id") == F.col("doc_id")) & (F.col("value.text_hash") == F.col("text_hash"))
     marks = written(of.select("doc_id", "text_hash", first.alias("_first"), "n").where("NOT _first OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_first"), "marks")
 
