@@ -60,7 +60,16 @@ DIGESTS: list[tuple[str, str]] = [
 ]
 
 
+#: Each known text and notice holds one of these, lower-cased, in every spelling.
+ANCHORS = ("licen", "permission", "redistribution")
+
+
+def _anchor(text: str) -> str | None:
+    return next((a for a in ANCHORS if a in text.lower()), None)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, text, digest): a text, or a digest where the text is long."""
-    rows = [(i, t, None) for i, t in TEXTS] + [(i, None, d) for i, d in DIGESTS]
-    return spark.createDataFrame(rows, "license_id string, text string, digest string")
+    """(license_id, text, digest, anchor): a text, or a digest where the text is long; all of the latter call
+    themselves licences but for the three clauses on redistribution."""
+    rows = [(i, t, None, _anchor(t)) for i, t in TEXTS] + [(i, None, d, "redistribution" if i.startswith("BSD") else "licen") for i, d in DIGESTS]
+    return spark.createDataFrame(rows, "license_id string, text string, digest string, anchor string")

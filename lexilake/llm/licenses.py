@@ -7,7 +7,10 @@ compared by the digest of that form: the whole document, and each of its lines t
 own (short notices stand on a line). Digests are hash-joined with those of known licences.
 
 Known licences are a table (license_id, text, digest) of at most ``MAX_KNOWN`` rows; the operator checks
-that bound before it broadcasts their digests and leaves the join to the planner beyond it.
+that bound before it broadcasts their digests and leaves the join to the planner beyond it. Where each known
+licence also names an ``anchor``, a string that its lower-cased text and its canonical form hold in every spelling, texts and lines
+without any anchor cannot match and are spared the canonical form; the operator checks the anchors of known
+texts, and does without if one is missing, wrong, or if there are more than ``MAX_ANCHORS``.
 
 Defined results: null or empty texts, and texts or lines without letters or digits, match nothing; ids
 are carried as they are, repeated ids share the union of their rows' licences; the result has one row
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_KNOWN = 20000
+MAX_ANCHORS = 8
 
 #: Equivalent spellings, after lower-casing: whole words, first form replaced by the second.
 #: Fixed values, after the matching guidelines that public licence lists describe.
@@ -63,11 +67,9 @@ def _words(text: Column, dropped: str = COPYRIGHT_LINE) -> Column:
     return form
 
 
-def _form(words: Column, one_line: Column | None = None) -> Column:
+def _form(words: Column, one_line: bool = False) -> Column:
     """One text's canonical form from its words. Within one line blanks are single already."""
-    form = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), "[ \n]+", " ")
-    if one_line is not None:
-        form = F.when(one_line, F.concat(F.lit(" "), F.trim(words), F.lit(" "))).otherwise(form)
+    form = F.concat(F.lit(" "), F.trim(words), F.lit(" ")) if one_line else F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), "[ \n]+", " ")
     for a, b in PHRASES:
         form = F.replace(form, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(form)
@@ -86,6 +88,15 @@ def known_digests(known: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("digest", F.sha2("c", 256)).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def anchors_of(known: DataFrame) -> list[str]:
+    """The distinct anchors, if every known licence has one and they are few; else none."""
+    if "anchor" not in known.columns:
+        return []
+    wrong = F.col("anchor").isNull() | (F.col("text").isNotNull() & ~(F.contains(F.lower("text"), "anchor") & F.contains(canonical(F.col("text")), "anchor")))
+    got = known.agg(F.count_if(wrong).alias("wrong"), F.slice(F.sort_array(F.collect_set("anchor")), 1, MAX_ANCHORS + 1).alias("anchors")).first()
+    return [] if got.wrong or len(got.anchors) > MAX_ANCHORS else got.anchors
+
+
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_license (of the whole text, else null),
     line_licenses (sorted distinct ids of its lines, joined with commas, empty without any),
@@ -97,11 +108,24 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         digests = F.broadcast(digests)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    text = F.col(text_col).cast("string")
-    words = docs.select(F.col(id_col).cast("long").alias("id"), _words(text).alias("words"), F.when(_signed(text), _words(text, COPYRIGHT_STATEMENT)).alias("signed")).where("words IS NOT NULL")
-    both = F.when(F.col("signed").isNull(), F.concat(F.array("words"), F.split("words", "\n"))).otherwise(F.concat(F.array("words", "signed"), F.split("signed", "\n")))
-    parts = words.select("id", F.when(F.col("signed").isNull(), 1).otherwise(2).alias("wholes"), F.posexplode(both).alias("place", "words"))
-    parts = parts.select("id", (F.col("place") < F.col("wholes")).alias("whole"), _form(F.col("words"), F.col("place") >= F.col("wholes")).alias("form")).where("form != ''")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    anchors = anchors_of(known)
+
+    def held(x: Column) -> Column:
+        out = F.lit(not anchors)
+        for a in anchors:
+            out = out | F.contains(x, F.lit(a))
+        return out
+
+    if anchors:
+        rows = rows.where(held(F.lower("text")))
+    # every step below is an attribute once, and no filter stands on a computed column: it would be computed again
+    words = rows.select("id", _words(F.col("text")).alias("words"), F.when(_signed(F.col("text")), _words(F.col("text"), COPYRIGHT_STATEMENT)).alias("signed"))
+    whole = F.struct(F.lit(True).alias("whole"), _form(F.col("words")).alias("form"))
+    other = F.struct(F.lit(True).alias("whole"), _form(F.col("signed")).alias("form"))
+    lines = F.transform(F.filter(F.split(F.coalesce("signed", "words"), "\n"), held), lambda x: F.struct(F.lit(False).alias("whole"), _form(x, True).alias("form")))
+    parts = words.select("id", F.inline(F.concat(F.when(F.col("signed").isNull(), F.array(whole)).otherwise(F.array(whole, other)), lines)))
+    # a form without words has no known digest
     found = parts.select("id", "whole", F.sha2("form", 256).alias("digest")).join(digests, "digest")
     line = F.when(~F.col("whole"), F.col("license_id"))
     found = found.groupBy("id").agg(F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"), F.count(line).alias("n"), F.array_join(F.array_sort(F.collect_set(line)), ",").alias("names"))

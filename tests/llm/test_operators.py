@@ -119,6 +119,9 @@ def test_licenses(spark, messy, empty):
     rows = [(1, mit, "", ""), (2, changed, "", ""), (3, cut, "", ""), (4, "prose\n  * licenced under the MIT licence!\nprose\nReleased under the MIT License.", "", ""), (5, "Released under the\nMIT License.", "", ""), (6, None, "", ""), (None, "Licensed under CC BY 4.0", "", "")]
     got = {r.doc_id: (r.text_license, r.line_licenses, r.n_license_lines) for r in licenses.scan(docs_of(spark, rows), known).collect()}
     assert got == {1: ("MIT", "", 0), 2: ("MIT", "", 0), 3: (None, "", 0), 4: (None, "MIT", 2), 5: ("MIT", "", 0), 6: (None, "", 0), None: ("CC-BY-4.0", "CC-BY-4.0", 1)}
+    assert licenses.anchors_of(known) == ["licen", "permission", "redistribution"] and not licenses.anchors_of(known.drop("anchor"))
+    assert not licenses.anchors_of(known.withColumn("anchor", F.lit("licen"))) and not licenses.anchors_of(known.withColumn("anchor", F.when(F.col("license_id") != "MIT", F.col("anchor"))))
+    assert {r.doc_id: (r.text_license, r.line_licenses, r.n_license_lines) for r in licenses.scan(docs_of(spark, rows), known.drop("anchor")).collect()} == got
     assert licenses.scan(messy, known).count() == len(MESSY) and licenses.scan(empty, known).count() == 0
     plan = licenses.scan(messy, known)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
