@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,10 +13,12 @@ from . import kernel as K
 
 BITS = 18
 SIZE = 1 << BITS
+#: Bytes of the longest text that a model is fitted on.
+LONGEST = 1 << 16
 
 #: Character classes: lower case and non-ASCII 1, capitals 2, digits 3, blank 4, line end 5,
 #: each ASCII sign its own, other controls 6.
-_CLASS = np.full(256, 6, np.uint64)
+_CLASS = np.full(256, 6, np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
@@ -25,70 +29,114 @@ for _i, _c in enumerate([b for b in range(33, 127) if not chr(b).isalnum()]):
 
 
 def _slot(x: np.ndarray, family: int) -> np.ndarray:
-    return (K.mix(x + K.U64(family << 58)) >> K.U64(64 - BITS)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        return (K.mix(x + K.U64(family << 58)) >> K.U64(64 - BITS)).astype(np.int64)
+
 
+#: Characters of a run that are looked at in one piece.
+PIECE = 1 << 20
+#: Bytes in a character n-gram of the text itself.
+CHARACTERS = 5
+FAMILIES = 7
 
-def grams(run: K.Run) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(document, slot) of every n-gram, by family: words; pairs of words; equality patterns of
-    four successive words; character n-grams of 2 to 4 over classes, with runs of letters, and of
-    digits, drawn together."""
+
+def grams(run: K.Run) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(family, documents, slots) of every n-gram, piece by piece: words; pairs of words; equality patterns of
+    four successive words; n-grams of 2 to 4 character classes, with runs of letters, and of digits, drawn
+    together; n-grams of ``CHARACTERS`` lower-cased bytes."""
     data = K.LOWER[run.data]
     t = K.tokens(run)
     h = K.token_hashes(data, t)
-    out = [(t.doc, _slot(h, 0))]
+    yield 0, t.doc, _slot(h, 0)
     pair, at = K.windows(h, t, 2)
-    out.append((t.doc[at], _slot(pair, 1)))
+    yield 1, t.doc[at], _slot(pair, 1)
     n = len(h) - 3
     if n > 0:
         at = np.flatnonzero(t.doc[:n] == t.doc[3:])
         a, b, c, d = (h[at + k] for k in range(4))
         code = sum((x == y).astype(np.uint64) << K.U64(k) for k, (x, y) in enumerate(((a, b), (b, c), (c, d), (a, c), (b, d), (a, d))))
-        out.append((t.doc[at], _slot(code, 2)))
+        yield 2, t.doc[at], _slot(code, 2)
     kind = _CLASS[run.data]
-    if len(kind):
-        edge = np.zeros(len(kind) + 1, bool)
-        edge[run.offsets] = True
-        keep = np.ones(len(kind), bool)
-        keep[1:] = (kind[1:] != kind[:-1]) | (kind[1:] > 3) | edge[1:-1]
-        where = np.flatnonzero(keep)
-        kind, doc = kind[where], np.searchsorted(run.offsets, where, "right") - 1
-        code = kind
-        for size in (2, 3, 4):
-            code = (code[:-1] << K.U64(6)) | kind[size - 1 :]
-            same = doc[: len(code)] == doc[size - 1 :]
-            out.append((doc[: len(code)][same], _slot(code[same], size + 1)))
-    return out
+    edge = np.zeros(len(kind) + 1, bool)
+    edge[run.offsets] = True
+    keep = np.ones(len(kind), bool)
+    keep[1:] = (kind[1:] != kind[:-1]) | (kind[1:] > 3) | edge[1:-1]
+    kept = np.cumsum([np.count_nonzero(keep[x:y]) for x, y in zip(run.offsets[:-1], run.offsets[1:])])
+    for family, codes, ends, sizes in ((3, kind[keep], kept, (2, 3, 4)), (6, data, run.offsets[1:], (CHARACTERS,))):
+        for lo in range(0, len(codes), PIECE):
+            part = codes[lo : lo + PIECE + max(sizes) - 1].astype(np.uint64)
+            doc = np.searchsorted(ends, np.arange(lo, lo + len(part)), "right")
+            code = part
+            for size in range(2, max(sizes) + 1):
+                code = (code[:-1] << K.U64(8)) | part[size - 1 :]
+                if size in sizes:
+                    own = min(len(code), PIECE)
+                    same = doc[:own] == doc[size - 1 : size - 1 + own]
+                    yield family + sizes.index(size), doc[:own][same], _slot(code[:own][same], family + sizes.index(size))
 
 
 def distinct(run: K.Run) -> tuple[np.ndarray, np.ndarray]:
     """(document, slot) of the distinct n-grams, sorted by document."""
-    parts = grams(run)
-    key = np.sort(np.concatenate([(d << BITS) | s for d, s in parts])) if parts else np.zeros(0, np.int64)
+    held, size = [], 0
+    for _, d, s in grams(run):
+        held.append((d << BITS) | s)
+        size += len(d)
+        if size > 8 * PIECE:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+    key = np.sort(np.concatenate(held))
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     return key >> BITS, key & (SIZE - 1)
 
 
+def dots(run: K.Run, weight: np.ndarray) -> np.ndarray:
+    """For each document the sum over its n-grams of weight, each worth one over the number that its document
+    has in the same family."""
+    n = run.hi - run.lo
+    total, count = np.zeros((FAMILIES, n)), np.zeros((FAMILIES, n))
+    for family, d, s in grams(run):
+        total[family] += np.bincount(d, weight[s], n)
+        count[family] += np.bincount(d, minlength=n)
+    return (total / np.maximum(count, 1)).sum(0)
+
+
 def shares(run: K.Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, slot, value): n-gram occurrences, each worth one over the number that its
-    document has in the same family. A slot may come up many times."""
-    docs, slots, values = [], [], []
-    for d, s in grams(run):
-        count = np.bincount(d, minlength=run.hi - run.lo)
-        docs.append(d)
-        slots.append(s)
-        values.append((1.0 / count[d]).astype(np.float32))
-    return np.concatenate(docs), np.concatenate(slots), np.concatenate(values)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, where: str, limit: int) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled documents that satisfy ``where`` over ``id``, those
-    of least hash. Rows with a null id, label or text are left out; repeated ids count once, by
-    their smallest label. The limit bounds what is broadcast, and what a driver gathers."""
-    some = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    """(document, slot, value) of the distinct n-grams, sorted by document: the values that ``dots`` sums."""
+    n = run.hi - run.lo
+    count = np.zeros((FAMILIES, n))
+    for family, d, _ in grams(run):
+        count[family] += np.bincount(d, minlength=n)
+    key, value = np.zeros(0, np.int64), np.zeros(0)
+    for family, d, s in grams(run):
+        key, back = np.unique(np.concatenate((key, (d << BITS) | s)), return_inverse=True)
+        value = np.bincount(back, np.concatenate((value, 1 / count[family][d])), len(key))
+    return key >> BITS, key & (SIZE - 1), value.astype(np.float32)
+
+
+def least_ids(ids: DataFrame, limit: int) -> DataFrame:
+    """(id) of the ``limit`` distinct ids of least hash. Each task keeps so many and no more, however often an id repeats."""
+
+    def work(batches):
+        best = np.zeros((2, 0), np.int64)
+        for b in batches:
+            rows = np.concatenate((best, np.stack([b.column(i).to_numpy() for i in (0, 1)])), 1)
+            best = np.unique(rows, axis=1)[:, :limit]
+        yield pa.record_batch([pa.array(x) for x in best], ["h", "id"])
+
+    rows = ids.select(F.xxhash64("id"), F.col("id").cast("long")).mapInArrow(work, "h long, id long")
+    return rows.distinct().orderBy("h", "id").limit(limit).select("id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, where: str, limit: int, longest: int = LONGEST) -> DataFrame:
+    """(id, text, y) of at most ``limit`` labelled documents that satisfy ``where`` over ``id``, those
+    of least hash. Rows with a null id, label or text, and texts of more than ``longest`` bytes, are left out;
+    repeated ids count once, by their smallest label and smallest text. The two limits bound what is broadcast, and
+    what a driver gathers: ``limit`` texts of ``longest`` bytes and some five features a word or byte of them."""
+    some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     some = some.where(where).groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    return text.join(F.broadcast(some), "id").select("id", "text", "y")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where((F.octet_length("text") <= longest) & F.col("text").isNotNull())
+    return text.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def gather(sample: DataFrame, weighted: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -100,10 +148,6 @@ def gather(sample: DataFrame, weighted: bool) -> tuple[list[np.ndarray], list[np
                 n = run.hi - run.lo
                 if weighted:
                     d, s, v = shares(run)
-                    key = (d << BITS) | s
-                    uniq, back = np.unique(key, return_inverse=True)
-                    v = np.bincount(back, v, len(uniq)).astype(np.float32)
-                    d, s = uniq >> BITS, uniq & (SIZE - 1)
                 else:
                     d, s = distinct(run)
                     v = np.ones(len(s), np.float32)
@@ -111,7 +155,7 @@ def gather(sample: DataFrame, weighted: bool) -> tuple[list[np.ndarray], list[np
                 part = [slice(cut[i], cut[i + 1]) for i in range(n)]
                 yield pa.record_batch([b.column(0).slice(run.lo, n), K.binary_array([s[p].astype(np.int32) for p in part]), K.binary_array([v[p] for p in part]), b.column(2).slice(run.lo, n)], ["id", "slots", "values", "y"])
 
-    rows = sorted(sample.select(F.col("id").cast("long"), "text", "y").mapInArrow(work, "id long, slots binary, values binary, y int").collect(), key=lambda r: (r.id, bytes(r.slots)))
+    rows = sorted(sample.select("id", "text", "y").mapInArrow(work, "id long, slots binary, values binary, y int").collect(), key=lambda r: r.id)
     return [np.frombuffer(r["slots"], np.int32) for r in rows], [np.frombuffer(r["values"], np.float32) for r in rows], np.array([r.y for r in rows], np.int64)
 
 

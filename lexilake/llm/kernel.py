@@ -3,7 +3,8 @@
 Everything works on the UTF-8 bytes of an Arrow string column: a batch is cut into runs of
 whole documents of about ``CHUNK`` bytes (a longer document forms a run of its own), and the
 tokens of a run are found and hashed with numpy, never with a loop over tokens. Temporary
-arrays are a few dozen bytes per byte of the run, so memory does not follow the batch size.
+arrays are some ten bytes per byte of the run (more per byte only for pieces of ``CHUNK`` bytes), so memory
+follows neither the batch's size nor, by much, that of one very long text.
 """
 
 from __future__ import annotations
@@ -43,13 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 4096)
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse up to ``CHUNK``, whatever the length of a text."""
+    if not _powers:
         inverse = pow(BASE, -1, 2**64)
         with np.errstate(over="ignore"):
             for name, base in (("up", BASE), ("down", inverse)):
-                a = np.full(size, U64(base), U64)
+                a = np.full(CHUNK + 1, U64(base), U64)
                 a[0] = 1
                 _powers[name] = np.multiply.accumulate(a)
     return _powers["up"], _powers["down"]
@@ -129,14 +130,36 @@ def tokens(run: Run, separator: np.ndarray = SPACE) -> Tokens:
     return Tokens(start, end, np.repeat(np.arange(docs), np.diff(first)), first)
 
 
+def _long_token(data: np.ndarray) -> int:
+    up, _ = _power_tables()
+    total = 0
+    for lo in range(0, len(data), CHUNK):
+        part = data[lo : lo + CHUNK]
+        total += int((BYTE_CODE[part] * up[: len(part)]).sum(dtype=U64)) * pow(BASE, lo, 2**64)
+    return total % 2**64
+
+
 def token_hashes(data: np.ndarray, t: Tokens) -> np.ndarray:
-    """64-bit hashes of the tokens' bytes."""
+    """64-bit hashes of the tokens' bytes, by pieces of at most ``CHUNK`` bytes that end between tokens."""
+    out = np.empty(len(t.start), U64)
+    up, down = _power_tables()
+    lo = 0
     with np.errstate(over="ignore"):
-        up, down = _power_tables(len(data) + 1)
-        total = np.empty(len(data) + 1, U64)
-        total[0] = 0
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
-        return mix((total[t.end] - total[t.start]) * down[t.start] + (t.end - t.start).astype(U64))
+        while lo < len(out):
+            first = int(t.start[lo])
+            hi = int(np.searchsorted(t.end, first + CHUNK, "right"))
+            if hi == lo:  # a token longer than a piece
+                out[lo] = _long_token(data[first : int(t.end[lo])])
+                hi = lo + 1
+            else:
+                piece = data[first : int(t.end[hi - 1])]
+                total = np.empty(len(piece) + 1, U64)
+                total[0] = 0
+                np.cumsum(BYTE_CODE[piece] * up[: len(piece)], out=total[1:])
+                s, e = t.start[lo:hi] - first, t.end[lo:hi] - first
+                out[lo:hi] = (total[e] - total[s]) * down[s]
+            lo = hi
+        return mix(out + (t.end - t.start).astype(U64))
 
 
 def windows(h: np.ndarray, t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:

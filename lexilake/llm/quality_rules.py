@@ -42,8 +42,7 @@ class Model:
         n = run.hi - run.lo
         if self.weight is None:
             return np.ones(n)
-        d, s, v = X.shares(run)
-        return X.logistic(self.a * (np.bincount(d, self.weight[s] * v, n) + self.bias) + self.b)
+        return X.logistic(self.a * (X.dots(run, self.weight) + self.bias) + self.b)
 
 
 def fit(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 1e-6) -> tuple[np.ndarray, float]:
