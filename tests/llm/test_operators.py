@@ -164,7 +164,7 @@ def test_gradient_of_the_network():
     def value():
         return float((language._gru(m, 0, codes.T, False)[0].astype(np.float64) * target).sum())
 
-    for grad, array in ((gu, m.u[0]), (gb, m.b[0])):
+    for grad, array in ((gu, m.u[0]), (gb, m.b[0]), (gx, m.x[0])):
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
         old = array[at].copy()
         array[at] = old + 1e-2
@@ -175,6 +175,70 @@ def test_gradient_of_the_network():
         assert (up - down) / 2e-2 == pytest.approx(float(grad[at]), rel=0.05)
 
 
+def plain_network(m, data):
+    """Distributions over languages at every byte of one window, by loops over bytes."""
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def run(d, codes):
+        n, h, out = language.HIDDEN, np.zeros(language.HIDDEN), []
+        for c in codes:
+            x, y = m.x[d][c].astype(float), h @ m.u[d].astype(float)
+            z, r = sigmoid(x[:n] + y[:n]), sigmoid(x[n : 2 * n] + y[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * (y[2 * n :] + m.b[d]))
+            out.append(h)
+        return out
+
+    padded = list(data) + [language.PAD] * (language.WINDOW - len(data))
+    fore, back = run(0, padded), run(1, padded[::-1])[::-1]
+    out = []
+    for f, b in list(zip(fore, back))[: len(data)]:
+        e = np.exp(np.concatenate((f, b)) @ m.out.astype(float) + m.bias)
+        out.append(e / e.sum())
+    return out
+
+
+def test_prediction_against_plain_loops():
+    rng = np.random.default_rng(5)
+    m = language.fit(rng.integers(0, 257, (8, language.WINDOW)), rng.integers(0, 3, 8), ["a", "b", "c"], steps=2)
+    texts = ["ünï çödé", "x" * 47, "a b" * 40, "", "z" * 96]
+    (run,) = kernel.runs(pa.array(texts))
+    got, labels = language.predict_run(m, run), language.label_run(m, run)
+    for d, x in enumerate(texts):
+        raw = x.encode()
+        every = [p for lo in range(0, len(raw), language.WINDOW) for p in plain_network(m, raw[lo : lo + language.WINDOW])]
+        if every:
+            assert np.allclose(got[d], np.mean(every, 0), atol=1e-4)
+            assert labels[run.offsets[d] : run.offsets[d + 1]].tolist() == [int(np.argmax(p)) for p in every]
+
+
+def test_output_gradient_of_the_network():
+    """The whole step: loss and gradients of the output weights, by differences."""
+    rng = np.random.default_rng(2)
+    codes, y = rng.integers(0, 257, (5, 9)), np.array([0, 1, 2, 1, 0])
+    m = language.fit(codes, y, ["a", "b", "c"], steps=1)
+    weight = rng.random((9, 5)).astype(np.float32)
+    loss, grads = language.loss_and_gradients(m, codes.T, y, weight)
+    for name in ("out", "bias", "x", "u", "b"):
+        array, at = getattr(m, name), np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
+        old = array[at].copy()
+        array[at] = old + 1e-2
+        up = language.loss_and_gradients(m, codes.T, y, weight)[0]
+        array[at] = old - 1e-2
+        down = language.loss_and_gradients(m, codes.T, y, weight)[0]
+        array[at] = old
+        assert (up - down) / 2e-2 == pytest.approx(float(grads[name][at]), rel=0.05), name
+
+
+def test_language_of_positions(spark, messy):
+    model = language.Model(["a", "b"], *[getattr(language.fit(np.arange(96).reshape(2, 48), np.array([0, 1]), ["a", "b"], steps=3), n) for n in ("x", "u", "b", "out", "bias")])
+    frame = messy.where("doc_id != 5 OR doc_id IS NULL")
+    for r in language.label_positions(frame, model).join(frame.select(F.col("doc_id").alias("i"), "text"), F.expr("doc_id <=> i")).collect():
+        ends = [s.start for s in r.spans] + [len(r.text or "")]
+        assert all(s.end == e and s.start < s.end and s.lang in "ab" for s, e in zip(r.spans, ends[1:])) and ends[0] == 0
+        assert all(x.lang != y.lang for x, y in zip(r.spans, r.spans[1:]))
+
+
 def test_language(spark, messy, empty):
     rows = queries.op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred != 'und'").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
@@ -413,6 +477,73 @@ def test_sample_is_bounded_and_fixed(spark):
     assert a == b and len(a) == 20 and all(i % 3 != 1 for i in a)
 
 
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.range(5000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text of some words "), F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(9, "x" * (features.LONGEST + 1), "en"), (8, None, "en"), (None, "no id", "en")], "doc_id long, text string, lang string"))
+    labels = spark.range(100).select((F.col("id") % 10).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = features.labelled_sample(docs, labels, "doc_id", "text", "quality", "true", 5).collect()
+    assert len(got) <= 5 and len({r.id for r in got}) == len(got) and all(r.text == "text of some words 0" and r.y == r.id % 2 for r in got)
+    assert sorted(r.id for r in features.labelled_sample(docs, labels, "doc_id", "text", "quality", "true", 50).collect()) == [0, 1, 2]
+    ids = docs.selectExpr("doc_id AS id").where("id IS NOT NULL").repartition(3)
+    want = [r.id for r in ids.distinct().orderBy(F.xxhash64("id"), "id").limit(2).collect()]
+    assert sorted(r.id for r in features.least_ids(ids, 2).collect()) == sorted(want)
+    assert language.train(docs, limit=2).languages == ["en"]
+
+
+def test_features_against_plain_loops():
+    """Words, pairs and character n-grams, in one piece and in small ones, and scores from them."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab cd ef1 Gh é. x").strip() or "q" for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "a", "x" * 9, "🚀é" * 5]
+    (run,) = kernel.runs(pa.array(texts))
+    families = {f: [] for f in range(features.FAMILIES)}
+    for f, d, s in features.grams(run):
+        families[f] += list(zip(d.tolist(), s.tolist()))
+    for f, parts in ((0, [WORD.findall(x) for x in texts]), (1, [list(zip(w, w[1:])) for w in map(WORD.findall, texts)]), (6, [[x.encode()[i : i + 5] for i in range(len(x.encode()) - 4)] for x in texts])):
+        assert Counter(d for d, _ in families[f]) == Counter({d: len(p) for d, p in enumerate(parts) if p})
+        slot = {}
+        of = {d: [s for e, s in families[f] if e == d] for d in range(len(texts))}
+        for d, p in enumerate(parts):
+            for x, s in zip(p, of[d]):
+                assert slot.setdefault(str(x).lower(), s) == s
+        assert len(set(slot.values())) > 0.95 * len(slot)
+    weight = np.random.default_rng(1).standard_normal(features.SIZE)
+    want = [sum(sum(weight[s] for e, s in g if e == d) / max(1, sum(e == d for e, _ in g)) for g in families.values()) for d in range(len(texts))]
+    d, s, v = features.shares(run)
+    piece, whole, all_slots = features.PIECE, features.dots(run, weight), features.distinct(run)
+    assert np.allclose(whole, want) and np.allclose(np.bincount(d, weight[s] * v, len(texts)), want, atol=1e-5)
+    assert set(zip(*(x.tolist() for x in all_slots))) == {x for g in families.values() for x in g}
+    try:
+        features.PIECE = 7
+        assert np.allclose(features.dots(run, weight), want) and all(np.array_equal(x, y) for x, y in zip(features.distinct(run), all_slots))
+    finally:
+        features.PIECE = piece
+    model = nbsvm.Model(weight, np.abs(weight) + 0.1, 0.3, 1.5, -0.2)
+    for d, p in enumerate(model.scores(run)):
+        own = sorted({s for g in families.values() for e, s in g if e == d})
+        margin = sum(weight[s] for s in own) / max(1e-9, math.sqrt(sum((abs(weight[s]) + 0.1) ** 2 for s in own))) + 0.3
+        assert p == pytest.approx(1 / (1 + math.exp(-(1.5 * margin - 0.2))), abs=1e-6)
+    rules = quality_rules.Model(weight, 0.3, 1.5, -0.2)
+    assert np.allclose(rules.scores(run), 1 / (1 + np.exp(-np.clip(1.5 * (np.array(want) + 0.3) - 0.2, -35, 35))))
+
+
+def test_long_texts_in_pieces():
+    """Tokens around and beyond the ends of pieces hash as they do alone."""
+    chunk = kernel.CHUNK
+    try:
+        kernel.CHUNK = 64
+        kernel._powers.clear()
+        text = " ".join(["ab", "x" * 63, "y" * 64, "z" * 65, "ab", "w" * 500, "ab", "", "é" * 40])
+        (run,) = kernel.runs(pa.array([text]))
+        t = kernel.tokens(run)
+        h = kernel.token_hashes(run.data, t)
+    finally:
+        kernel.CHUNK = chunk
+        kernel._powers.clear()
+    for word, x in zip(WORD.findall(text), h):
+        (alone,) = kernel.runs(pa.array([word]))
+        assert kernel.token_hashes(alone.data, kernel.tokens(alone))[0] == x
+
+
 # 9 near-duplicates
 
 
