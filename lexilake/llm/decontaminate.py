@@ -38,8 +38,8 @@ SPAN = 9
 LEAST_WORDS = 5
 #: The places that each mask ignores: the twelve lines of a three by three plane whose rows are 012, 345, 678.
 LINES = [tuple(3 * ((m * x + c) % 3) + x for x in range(3)) for m in range(3) for c in range(3)] + [tuple(3 * y + x for y in range(3)) for x in range(3)]
-#: Where a hash's slots lie in its bits.
-SHIFTS = (34, 17, 0)
+#: A hash has a slot for each factor; with 64 times as many slots as hashes one in 10^7 other hashes passes.
+FACTORS = np.random.Generator(np.random.PCG64(90210)).integers(0, 2**64, 8, dtype=K.U64) | K.U64(1)
 MARGIN = 64
 GAP = 64
 
@@ -70,18 +70,31 @@ def _wholes(h: np.ndarray, t: K.Tokens, size: int) -> tuple[np.ndarray, np.ndarr
         return K.mix(w + K.U64(1000 + size)), at
 
 
-def _slots(h: np.ndarray, shift: int, bits: int) -> np.ndarray:
-    return ((h >> K.U64(shift)) & K.U64((1 << bits) - 1)).astype(np.int64)
+def _slots(h: np.ndarray, factor: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h * factor >> K.U64(64 - bits)).astype(np.int64)
 
 
 def _taken(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     """Indexes at which all of a hash's slots are taken (a Bloom filter; later probes look at what is left)."""
-    left = np.flatnonzero(holds(table, _slots(h, SHIFTS[0], bits)))
-    for shift in SHIFTS[1:]:
-        left = left[holds(table, _slots(h[left], shift, bits))]
+    left = np.flatnonzero(holds(table, _slots(h, FACTORS[0], bits)))
+    for factor in FACTORS[1:]:
+        left = left[holds(table, _slots(h[left], factor, bits))]
     return left
 
 
+def _filter(bench: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of the benchmark's hashes."""
+
+    def work(batches):
+        for b in batches:
+            h = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), np.int64).view(K.U64)
+            for factor in FACTORS:
+                yield pa.record_batch([pa.array(_slots(h, factor, bits))], ["s"])
+
+    return taken_slots(bench.select("hashes").mapInArrow(work, "s long"), bits)
+
+
 def benchmark_hashes(items: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """(item_id, size, words, hashes, places) for each item: its word hashes, and masked windows or, if it is short, the
     hash of the whole."""
@@ -160,9 +173,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     bench = written(benchmark_hashes(items, item_col, item_text_col, least_words), "bench")
     seeds = bench.select("item_id", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("item_id", F.col("s.hashes").alias("hash"), F.col("s.places").alias("at"))
     known = bench.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n"), F.sort_array(F.collect_set(F.when((F.col("size") >= least_words) & (F.col("size") < SPAN), F.col("size")))).alias("short")).first()
-    bits = slot_bits(len(SHIFTS) * known.n // 2)
-    probes = F.array(*(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for k in SHIFTS))
-    table = taken_slots(seeds.select(F.explode(probes).alias("s")), bits)
+    bits = slot_bits(4 * known.n)
+    table = _filter(bench, bits)
     found = written(regions(docs, table, bits, known.short, id_col, text_col), "regions")
     hits = found.select("doc_id", "region", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "region", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
     hot = hot_keys(hits.groupBy("hash").agg(F.count("*").alias("k")), "hash", "k", found.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0])
