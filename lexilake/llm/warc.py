@@ -11,9 +11,12 @@ records to a file.
 Reading: each archive is parsed record by record. Segments whose set is complete within their
 archive are joined there; only the rest are shuffled, grouped by origin, ordered by segment
 number. The total length is verified, the chunked framing decoded and the payload's digest
-compared with the header.
+compared with the header. Archives may come from elsewhere: a record whose id does not name a page has a null
+page_id and keeps its record_id; what cannot be read (no length, cut short, segments missing, framing broken,
+another digest than stated) gives a row with its error and goes on at the next record.
 
-Defined results: null html: empty payload; null url: empty target; null page id: left out. Rows
+Defined results: null html: empty payload; null url: empty target. A null page id is carried: its record is a
+revisit if a page with an id has the same payload of at least ``min_revisit`` bytes, else a response. Rows
 that repeat a page id and payload are one record written several times: as many rows come back.
 Empty table: no rows.
 """
@@ -29,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import holds, new_folder, slot_bits, slot_of, taken_slots, written
 
 SEGMENT_BYTES = 16384
 CHUNK_BYTES = 4096
 MIN_REVISIT = 100
 RECORDS_PER_FILE = 1000
-FILTER_BITS = 22
 DATE = "2024-01-01T00:00:00Z"
-_URI = re.compile(rb"<urn:lexilake:page:(-?\d+):([0-9a-f]*)(?::(\d+))?>")
+_URI = re.compile(rb"<urn:lexilake:page:(-?\d*):([0-9a-f]*)(?::(\d+))?>")
 
 
 def _cuts(data: bytes, size: int) -> list[int]:
@@ -57,9 +59,9 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> str:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n{block.decode()}"
 
 
-def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[str]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[str]:
     """The WARC records of one page, without the separator after each."""
-    uri = f"urn:lexilake:page:{page_id}:{digest[:16]}"
+    uri = f"urn:lexilake:page:{'' if page_id is None else page_id}:{digest[:16]}"
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     common = [("WARC-Record-ID", f"<{uri}>"), ("WARC-Target-URI", target), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     start = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -89,20 +91,20 @@ def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Only digests that come up twice are joined with the pages, and only pages in a slot that such a
     digest takes pass through that join; all others are written in the pass that reads them. The slot
-    table has a fixed size."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).where("page_id IS NOT NULL")
-    rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("slot", F.when(F.octet_length("html") >= min_revisit, F.pmod(F.xxhash64("digest"), F.lit(1 << FILTER_BITS)).cast("int")))
-    twice = rows.where("slot IS NOT NULL").groupBy("digest", "slot").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "slot", "first").cache()
-    taken = np.zeros(1 << FILTER_BITS, bool)
-    taken[twice.select("slot").distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    bits = np.packbits(taken).tobytes()
+    table is sized by the number of those digests, which are kept in a written table."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
+    some = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    twice = written(some.where("n > 1 AND first IS NOT NULL").select("digest", "first"), "twice")
+    bits = slot_bits(twice.count())
+    rows = rows.withColumn("slot", F.when(F.octet_length("html") >= min_revisit, slot_of(F.xxhash64("digest"), bits)))
+    sent = pages.sparkSession.sparkContext.broadcast(taken_slots(twice.select(slot_of(F.xxhash64("digest"), bits).alias("s")), bits))
 
     def split(shared: bool):
         def work(batches):
-            table = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
             for b in batches:
                 slot = b.column(4)
-                hit = table[slot.fill_null(0).to_numpy(zero_copy_only=False)] & slot.is_valid().to_numpy(zero_copy_only=False)
+                hit = holds(sent.value, slot.fill_null(0).to_numpy(zero_copy_only=False)) & slot.is_valid().to_numpy(zero_copy_only=False)
                 part = b.filter(pa.array(hit if shared else ~hit))
                 if shared:
                     yield part.select([0, 1, 2, 3])
@@ -129,34 +131,55 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for b in batches:
             yield from records(b, 4)
 
-    maybe = rows.mapInArrow(split(True), "page_id long, url string, html string, digest string").join(twice.select("digest", "first"), "digest", "left")
+    maybe = rows.mapInArrow(split(True), "page_id long, url string, html string, digest string").join(twice, "digest", "left")
     text = rows.mapInArrow(split(False), "value string").unionByName(maybe.select("page_id", "url", "html", "digest", "first").mapInArrow(joined, "value string"))
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-    twice.unpersist()
 
 
-def parse(data: bytes):
-    """(headers, block) of each record of an archive, plain or gzip."""
+def parse(data: bytes, strict: bool = True):
+    """(headers, block) of each record of an archive, plain or gzip. Not ``strict``: what is no whole record gives
+    (None, what is wrong), and reading goes on at the next record's start."""
+    broken = None
     while data[:2] == b"\x1f\x8b":
         parts, rest = [], data
         while rest:
             unzip = zlib.decompressobj(31)
-            parts.append(unzip.decompress(rest))
+            try:
+                parts.append(unzip.decompress(rest))
+            except zlib.error:
+                broken = "compression"
+                break
+            broken = None if unzip.eof else "compression"
             rest = unzip.unused_data
         data = b"".join(parts)
+    if broken and strict:
+        raise ValueError(broken)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
+        wrong = None
         if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError("not a WARC record")
-        lines = data[at:end].split(b"\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
-        size = int(headers[b"content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size:
-            raise ValueError("a record is cut short")
-        yield headers, block
-        at = end + 4 + size + 4
+            wrong = "not a WARC record"
+        else:
+            lines = data[at:end].split(b"\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
+            size = headers.get(b"content-length", b"")
+            block = data[end + 4 : end + 4 + int(size)] if size.isdigit() else b""
+            if not size.isdigit():
+                wrong = "a record without a length"
+            elif len(block) != int(size):
+                wrong = "a record is cut short"
+        if wrong is None:
+            yield headers, block
+            at = end + 4 + len(block) + 4
+            continue
+        if strict:
+            raise ValueError(wrong)
+        yield None, wrong
+        at = data.find(b"\r\n\r\nWARC/", at + 1)
+        at = len(data) if at < 0 else at + 4
+    if broken:
+        yield None, broken
 
 
 def dechunked(body: bytes) -> bytes:
@@ -172,17 +195,32 @@ def dechunked(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def _result(uri: bytes, refers: bytes | None, digest: bytes, block: bytes) -> tuple:
-    head, _, body = block.partition(b"\r\n\r\n")
+#: One row for each record read.
+RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, error string"
+
+
+def _page(uri: bytes | None) -> int | None:
+    m = _URI.match(uri or b"")
+    return int(m[1]) if m and m[1] else None
+
+
+def _result(kind: bytes, uri: bytes, refers: bytes | None, digest: bytes, block: bytes, http: bool = True) -> tuple:
+    """The row of one record. ``http``: the block is a response with a head of its own, else it is the payload."""
+    page, name, error = _page(uri), uri.decode("utf-8", "replace"), None
+    head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    page, stated = int(_URI.match(uri)[1]), digest.removeprefix(b"sha256:").decode()
-    if refers is not None:
-        return page, int(fields[b"content-length"]), stated, "revisit", int(_URI.match(refers)[1])
-    payload = dechunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
+    stated = digest.removeprefix(b"sha256:").decode() if digest.startswith(b"sha256:") else None
+    if kind == b"revisit":
+        size = fields.get(b"content-length", b"")
+        return page, int(size) if size.isdigit() else None, stated, "revisit", _page(refers), name, None
+    try:
+        payload = dechunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
+    except ValueError:
+        return page, None, stated, kind.decode(), None, name, "chunk framing"
     found = hashlib.sha256(payload).hexdigest()
-    if found != stated:
-        raise ValueError(f"page {page}: payload digest differs")
-    return page, len(payload), found, "response", None
+    if stated is not None and found != stated:
+        error = "payload digest differs"
+    return page, len(payload), found, kind.decode(), None, name, error
 
 
 def assembled(pieces: list[tuple[int, bytes, int | None]]) -> bytes:
@@ -199,54 +237,69 @@ def assembled(pieces: list[tuple[int, bytes, int | None]]) -> bytes:
     return block
 
 
+def _whole(origin: bytes, digest: bytes, pieces: list[tuple[int, bytes, int | None]]) -> tuple:
+    try:
+        return _result(b"response", origin, None, digest, assembled(pieces))
+    except ValueError as e:
+        return _page(origin), None, None, "response", None, origin.decode("utf-8", "replace"), str(e)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, error) of every record; a record in
+    segments is one."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    raw = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, origin string, number int, total long, digest string, block binary"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    raw = f"{RESULT}, origin string, number int, total long, digest string, block binary"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in raw.split(", ")]
+    width = len(RESULT.split(", "))
+
+    def number_of(h: dict, name: bytes) -> int | None:
+        return int(h[name]) if h.get(name, b"").isdigit() else None
 
     def archives(batches):
         for b in batches:
             for i in range(b.num_rows):
                 out, open_sets = [], {}
-                for h, block in parse(b.column(0)[i].as_py()):
-                    number = int(h.get(b"warc-segment-number", 0))
+                for h, block in parse(b.column(0)[i].as_py(), False):
+                    if h is None:
+                        out.append((None,) * (width - 1) + (block,) + (None,) * 5)
+                        continue
+                    number, uri, kind = number_of(h, b"warc-segment-number"), h.get(b"warc-record-id", b""), h.get(b"warc-type", b"")
                     if not number:
-                        out.append((*_result(h[b"warc-record-id"], h.get(b"warc-refers-to"), h.get(b"warc-payload-digest", b""), block), None, None, None, None, None))
+                        http = h.get(b"content-type", b"").startswith(b"application/http") and kind in (b"response", b"revisit")
+                        out.append((*_result(kind, uri, h.get(b"warc-refers-to"), h.get(b"warc-payload-digest", b""), block, http), None, None, None, None, None))
                         continue
-                    origin = h.get(b"warc-segment-origin-id", h[b"warc-record-id"])
-                    total = int(h[b"warc-segment-total-length"]) if b"warc-segment-total-length" in h else None
+                    origin = h.get(b"warc-segment-origin-id", uri)
+                    total = number_of(h, b"warc-segment-total-length")
                     have = open_sets.setdefault(origin, [])
                     have.append((number, block, total, h.get(b"warc-payload-digest")))
                     if total is not None and [x[0] for x in have] == list(range(1, number + 1)):
-                        out.append((*_result(origin, None, have[0][3], assembled([x[:3] for x in have])), None, None, None, None, None))
+                        out.append((*_whole(origin, have[0][3] or b"", [x[:3] for x in have]), None, None, None, None, None))
                         del open_sets[origin]
                 for origin, have in open_sets.items():
                     for number, block, total, digest in have:
-                        out.append((None,) * 5 + (origin.decode(), number, total, (digest or b"").decode(), block))
+                        out.append((None,) * width + (origin.decode("utf-8", "replace"), number, total, (digest or b"").decode(), block))
                 if out:
                     yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
 
     # both branches below read the same parse
     parsed = written(files.mapInArrow(archives, raw), "parsed")
-    whole = parsed.where("origin IS NULL").select(*names[:5])
-    sets = parsed.where("origin IS NOT NULL").groupBy("origin").agg(F.max("digest").alias("digest"), F.sum(F.expr("int(number = 1)")).alias("copies"), F.sort_array(F.collect_set(F.struct("number", "block", "total"))).alias("pieces"))
+    whole = parsed.where("origin IS NULL").select(*names[:width])
+    sets = parsed.where("origin IS NOT NULL").groupBy("origin").agg(F.max("digest").alias("digest"), F.greatest(F.lit(1), F.sum(F.expr("int(number = 1)"))).alias("copies"), F.sort_array(F.collect_set(F.struct("number", "block", "total"))).alias("pieces"))
 
     def sets_work(batches):
         for b in batches:
             out = []
             for origin, digest, copies, pieces in zip(*(b.column(i).to_pylist() for i in range(4))):
-                row = _result(origin.encode(), None, digest.encode(), assembled([(p["number"], p["block"], p["total"]) for p in pieces]))
-                out += [row] * copies
+                out += [_whole(origin.encode(), digest.encode(), [(p["number"], p["block"], p["total"]) for p in pieces])] * copies
             if out:
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), types)], names[:5])
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), types)], names[:width])
 
-    return whole.unionByName(sets.mapInArrow(sets_work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
+    return whole.unionByName(sets.mapInArrow(sets_work, RESULT))
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back."""
+    """Write the pages to archives in the shared folder and read them back: the rows of ``read_archives``."""
     spark = pages.sparkSession
     path = f"{new_folder(spark)}/warc"
     write_archives(pages, path, **columns)
