@@ -62,7 +62,7 @@ FORMATS: dict[str, list] = {
 }
 
 
-def labelled_credentials(count: int = 160, seed: int = 11) -> dict[str, list[str]]:
+def labelled_credentials(count: int = 320, seed: int = 11) -> dict[str, list[str]]:
     """Labelled training credentials, drawn from the documented formats."""
     rng = np.random.Generator(np.random.PCG64(seed))
     out: dict[str, list[str]] = {}
