@@ -9,19 +9,33 @@ from .dialect import SPACE
 from .text import WORD, has, let, word_count
 
 
+#: 10, 100 and 1000 as sums of powers of two, by which a double is multiplied without an error.
+_POWERS = {1: (8, 2), 2: (64, 32, 4), 3: (1024, -16, -8)}
+
+
 def fixed(x: Column, places: int) -> Column:
-    """Decimal rounding of a non-negative double, half up by its scaled value. For one place the
-    error of the scaling is looked at, so that an exact value below the tie goes down."""
-    if places == 1:
-        def one(v):
-            s = 8 * v + 2 * v
-            part = s - 8 * v
-            err = (8 * v - (s - part)) + (2 * v - part)
-            c = F.floor(s + 0.5)
-            return F.when((s + 0.5 == c) & (err < 0), c - 1).otherwise(c) / 10.0
-
-        return let(x, one)
-    return F.floor(x * 10**places + 0.5) / float(10**places)
+    """Decimal rounding of a non-negative double by its exact binary value, ties up. The scaled value is a sum whose
+    rounding errors are added up, so that a value just below a tie goes down, though its product would not."""
+
+    def rounded(v: Column) -> Column:
+        first, *more = _POWERS[places]
+        start = F.struct((v * first).alias("s"), F.lit(0.0).alias("e"))
+
+        def add(acc: Column, term: Column) -> Column:
+            def summed(s: Column) -> Column:
+                part = s - acc["s"]
+                return F.struct(s.alias("s"), (acc["e"] + ((acc["s"] - (s - part)) + (term - part))).alias("e"))
+
+            return let(acc["s"] + term, summed)
+
+        def end(acc: Column) -> Column:
+            low = F.floor(acc["s"])
+            over = acc["s"] - low
+            return (low + F.when((over > 0.5) | ((over == 0.5) & (acc["e"] >= 0)), 1).otherwise(0)) / float(10**places)
+
+        return F.aggregate(F.array(*(v * m for m in more)), start, add, end)
+
+    return let(x, rounded)
 
 
 def em_dash(raw: Column) -> Column:

@@ -29,6 +29,12 @@ def utf16_length(x: Column) -> Column:
     return (F.length(x) + F.when(x.rlike(ASTRAL), F.regexp_count(x, F.lit(ASTRAL))).otherwise(0)).cast("int")
 
 
+def first_units(x: Column, n: int) -> Column:
+    """The first ``n`` UTF-16 units; a character whose halves the end would part is left out."""
+    sizes = F.filter(F.sequence(F.lit(n // 2), F.lit(n)), lambda k: utf16_length(F.substring(x, F.lit(1), k)) <= n)
+    return F.when(x.rlike(ASTRAL), F.substring(x, F.lit(1), F.array_max(sizes))).otherwise(F.substring(x, 1, n))
+
+
 def blank(x: Column) -> Column:
     """Every unit but line ends becomes a blank; a character of two units becomes two."""
     return F.regexp_replace(F.regexp_replace(x, ASTRAL, "  "), "[^\n]", " ")

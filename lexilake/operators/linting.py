@@ -127,7 +127,7 @@ def lint(docs: DataFrame, text_col: str = "text", rules: dict | Column | None =
             return F.element_at(F.array(*values) if isinstance(values[0], Column) else text.constants(values), f["c"] + 1)
 
         label = pick([c.label for c in CATEGORIES])
-        cut = F.when(f["size"] > 60, F.concat(F.substring(f["match"], 1, 59), F.lit("…"))).otherwise(f["match"])
+        cut = F.when(f["size"] > 60, F.concat(text.first_units(f["match"], 59), F.lit("…"))).otherwise(f["match"])
         rule = F.element_at(F.element_at(ids, f["c"] + 1), f["p"] + 1)
         return F.struct(
             f["line"].alias("line"), f["column"].alias("column"), rule.alias("ruleId"), pick([c.id for c in CATEGORIES]).alias("category"), label.alias("categoryLabel"),
@@ -160,10 +160,15 @@ def findings_table(linted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return linted.select(id_col, F.inline(numbered))
 
 
-def summarize(linted: DataFrame, path: Column, max_warnings: int = -1) -> DataFrame:
-    """One row: fileCount, errorCount, warningCount, overThreshold [{filePath, score}], maxWarnings, failed."""
-    agg = linted.agg(F.count("*").alias("fileCount"), F.coalesce(F.sum("errorCount"), F.lit(0)).alias("errorCount"), F.coalesce(F.sum("warningCount"), F.lit(0)).alias("warningCount"), F.sort_array(F.collect_list(F.when(F.col("thresholdExceeded"), F.struct(path.alias("filePath"), F.col("score").alias("score"))))).alias("overThreshold"))
-    failed = (F.col("errorCount") > 0) | (F.size("overThreshold") > 0)
+def summarize(linted: DataFrame, max_warnings: int = -1) -> DataFrame:
+    """One row of counts: fileCount, errorCount, warningCount, overThreshold (documents), maxWarnings, failed."""
+    agg = linted.agg(F.count("*").alias("fileCount"), F.coalesce(F.sum("errorCount"), F.lit(0)).alias("errorCount"), F.coalesce(F.sum("warningCount"), F.lit(0)).alias("warningCount"), F.count_if("thresholdExceeded").alias("overThreshold"))
+    failed = (F.col("errorCount") > 0) | (F.col("overThreshold") > 0)
     if max_warnings >= 0:
         failed = failed | (F.col("warningCount") > max_warnings)
     return agg.withColumn("maxWarnings", F.lit(max_warnings)).withColumn("failed", failed)
+
+
+def over_threshold(linted: DataFrame, path: Column) -> DataFrame:
+    """(filePath, score) of the documents over the threshold: a table, as their number has no bound."""
+    return linted.where("thresholdExceeded").select(path.alias("filePath"), "score")

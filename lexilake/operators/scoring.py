@@ -38,7 +38,7 @@ def hits_of(hits: Column, i: int | Column) -> Column:
 def shown(m: Column, cut: bool = True) -> Column:
     """The surface that a score looks at: trimmed and, in the score path, cut."""
     x = text.trim(m)
-    return F.substring(x, 1, CUT) if cut else x
+    return text.let(x, lambda y: text.first_units(y, CUT)) if cut else x
 
 
 def distinct_count(hits: Column, i: int | Column, cut: bool = True) -> Column:
@@ -68,9 +68,9 @@ def scored(docs: DataFrame, text_col: str = "text", only: Iterable[str] | None =
     return out.withColumn("score", final_score(F.col("raw_score"), factor)).withColumn("band", band(F.col("score")))
 
 
-def category_results(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document and category with hits: label, tier, count, distinct, points, hits per
-    1000 words, rank by points (ties in catalogue order), the first 25 hits."""
+def ranked_categories() -> Column:
+    """The categories with hits of a scored document, in its row: ordinal, category, label, tier as severity, count,
+    distinct, points, hits per 1000 words, why, caution, the first 25 hits; by points, ties in catalogue order."""
     def pick(values, i: Column) -> Column:
         return F.element_at(text.constants(values), i + 1)
 
@@ -89,16 +89,23 @@ def category_results(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFram
         return F.struct(i.alias("ordinal"), *said[0], F.size(of).alias("count"), distinct.alias("distinct"), points.alias("points"), per.alias("per1000Words"), *said[1], first.alias("hits"))
 
     got = F.transform(F.array_sort(F.array_distinct(F.col("hits.c"))), result)
-    ranked = F.array_sort(got, lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).otherwise(a["ordinal"] - b["ordinal"]))
-    rows = scored_docs.where(F.size("hits") > 0).select(id_col, "raw", "hits", "word_count")
+    return F.array_sort(got, lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).otherwise(a["ordinal"] - b["ordinal"]))
+
+
+def category_results(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each document and category with hits: what ``ranked_categories`` tells of it, and its rank."""
     # inline and not explode, for which the optimizer computes the array anew for each field asked for
-    return rows.select(id_col, F.inline(F.transform(ranked, lambda r, i: r.withField("rank", i.cast("int")))))
+    return scored_docs.select(id_col, F.inline(F.transform(ranked_categories(), lambda r, i: r.withField("rank", i.cast("int")))))
+
+
+def top_hits(categories: Column) -> Column:
+    """The first three hits of each category, by points, twenty at most: category, severity, match."""
+    first = F.transform(categories, lambda r: F.transform(F.slice(r["hits"], 1, 3), lambda h: F.struct(r["category"].alias("category"), r["severity"].alias("severity"), h["match"].alias("match"))))
+    return F.slice(F.flatten(first), 1, 20)
 
 
 def reports(scored_docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document: score, band, wordCount, categories by points, metrics, topHits."""
-    results = category_results(scored_docs, id_col)
-    per = results.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("rank", "category", "label", "severity", "count", "distinct", "points", "per1000Words", "why", "caution", "hits"))).alias("categories"))
-    out = scored_docs.select(id_col, "score", "band", F.col("word_count").alias("wordCount"), "metrics").join(per, id_col, "left")
-    top = F.slice(F.flatten(F.transform("categories", lambda r: F.transform(F.slice(r["hits"], 1, 3), lambda h: F.struct(r["category"].alias("category"), r["severity"].alias("severity"), h["match"].alias("match"))))), 1, 20)
-    return out.withColumn("topHits", top)
+    """One row for each row: score, band, wordCount, categories by points, metrics, topHits. Everything stays in the
+    document's row, so that null and repeated ids make no difference, and nothing is shuffled."""
+    out = scored_docs.select(id_col, "score", "band", F.col("word_count").alias("wordCount"), "metrics", ranked_categories().alias("categories"))
+    return out.withColumn("topHits", top_hits(F.col("categories")))

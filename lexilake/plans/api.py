@@ -3,14 +3,18 @@ response). Serving them over a network is no part of the engine. Error rows neve
 
 from __future__ import annotations
 
+import json
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACE
 from ..functions.text import utf16_length
 from ..operators import extraction, linting
-from ..operators.catalogue import CATEGORIES
-from ..sources.sinks import DISCLAIMER, FINDING_FIELDS
+from ..operators.catalogue import CATEGORIES, TIER_SEVERITY
+from ..sources.sinks import DISCLAIMER, FINDING_FIELDS, TOOL, VERSION
 
 #: Limits and routes.
 MAX_BODY_BYTES = 512 * 1024
@@ -84,8 +88,7 @@ def status(code: Column, verb: Column) -> Column:
 
 
 def responses(requests: DataFrame) -> DataFrame:
-    """Lint and score requests answered: request_id, status, code, response (JSON; null for errors and
-    for routes without a body of their own)."""
+    """Requests answered: request_id, status, code, response (JSON; null for errors and for OPTIONS)."""
     checked = validated(requests)
     ok = checked.where(F.col("code").isNull() & (F.col("verb") == "POST"))
     prose = F.when(F.col("extract"), extraction.extract_prose(F.col("text"), F.col("file"))["text"]).otherwise(F.col("text"))
@@ -98,29 +101,57 @@ def responses(requests: DataFrame) -> DataFrame:
     lint_body = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(DISCLAIMER).alias("disclaimer"), summary.alias("summary"), F.array(one).alias("results")), options)
     score_body = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(DISCLAIMER).alias("disclaimer"), "score", "band", F.col("word_count").alias("wordCount"), "thresholdExceeded", "metrics"), options)
     good = linted.select("request_id", F.lit(200).alias("status"), F.lit(None).cast("string").alias("code"), F.when(F.col("route") == "/v1/lint", lint_body).otherwise(score_body).alias("response"))
+    body = F.lit(None).cast("string")
+    for route, text in get_bodies().items():
+        body = F.when((F.col("verb") == "GET") & (F.col("route") == route), F.lit(text)).otherwise(body)
     rest = checked.where(F.col("code").isNotNull() | (F.col("verb") != "POST"))
-    return good.unionByName(rest.select("request_id", status(F.col("code"), F.col("verb")).alias("status"), "code", F.lit(None).cast("string").alias("response")))
+    return good.unionByName(rest.select("request_id", status(F.col("code"), F.col("verb")).alias("status"), "code", body.alias("response")))
 
 
-def rate_limited(log: DataFrame, per_minute: int = 120) -> DataFrame:
-    """Marks entries (ip, ts) of an access log that a sliding log of 60 seconds would refuse. Only
+def rate_limited(log: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
+    """Marks entries (ip, ts) of an access log that a sliding log of ``seconds`` would refuse. Only
     admitted entries count against the limit, so each address is walked in order of time; the state is
-    at most ``per_minute`` timestamps."""
-    import pandas as pd
+    at most ``limit`` timestamps. A null address is one of its own; a limit of 0 admits all."""
+    span = seconds * 1_000_000
 
     def walk(batches):
-        now, admitted = object(), []
-        for pdf in batches:
+        now, held = object(), deque()
+        for b in batches:
             flags = []
-            for ip, ts in zip(pdf["ip"], pdf["ts"]):
+            for ip, ts in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 if ip != now:
-                    now, admitted = ip, []
-                admitted = [t for t in admitted if t > ts - pd.Timedelta(seconds=60)]
-                good = not per_minute or len(admitted) < per_minute
-                if good:
-                    admitted.append(ts)
+                    now, held = ip, deque()
+                while held and ts is not None and held[0] <= ts - span:
+                    held.popleft()
+                good = not limit or ts is None or len(held) < limit
+                if good and ts is not None:
+                    held.append(ts)
                 flags.append(good)
-            yield pdf.assign(admitted=flags)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(flags, pa.bool_())], ["ip", "ts", "admitted"])
 
     rows = log.select("ip", "ts").repartition("ip").sortWithinPartitions("ip", "ts")
-    return rows.mapInPandas(walk, "ip string, ts timestamp, admitted boolean")
+    return rows.select("ip", "ts", F.unix_micros("ts")).mapInArrow(walk, "ip string, ts timestamp, admitted boolean")
+
+
+def get_bodies() -> dict[str, str]:
+    """The JSON bodies of the routes without a request, made from the catalogue."""
+    ids = [c.id for c in CATEGORIES]
+    counts = {"status": "ok", "version": VERSION, "categories": len(CATEGORIES), "patterns": sum(len(c.patterns) for c in CATEGORIES)}
+    listed = [{"id": c.id, "label": c.label, "tier": c.tier, "defaultSeverity": TIER_SEVERITY[c.tier], "patterns": [p.id for p in c.patterns]} for c in CATEGORIES]
+    severity = {"type": "string", "enum": ["off", "warn", "error"]}
+    share = {"type": "number", "minimum": 0, "maximum": 100}
+    request = {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "maxLength": MAX_TEXT_UNITS}, "rules": {"type": "object", "propertyNames": {"enum": ids}, "additionalProperties": severity}, "threshold": share, "filePath": {"type": "string"}, "maxHitsPerRule": {"type": "integer", "minimum": 0}, "extract": {"type": "boolean", "default": False}}}
+    error = {"type": "object", "properties": {"error": {"type": "object", "properties": {"code": {"type": "string"}, "message": {"type": "string"}}}}}
+
+    def answer(what: str, schema: dict | None = None) -> dict:
+        return {"description": what, "content": {"application/json": {"schema": schema or {"type": "object"}}}}
+
+    def post(what: str) -> dict:
+        return {"post": {"summary": what, "requestBody": {"required": True, "content": {"application/json": {"schema": request}}}, "responses": {"200": answer("result"), "400": answer("bad request", error), "413": answer("too large", error)}}}
+
+    paths = {r: {"get": {"summary": w, "responses": {"200": answer(w)}}} for r, w in (("/health", "state and size of the catalogue"), ("/v1/rules", "the rules"))}
+    paths |= {"/v1/lint": post("positioned findings and the score"), "/v1/score": post("the score alone")}
+    index = {"name": TOOL, "version": VERSION, "disclaimer": DISCLAIMER, "routes": [f"GET {r}" for r in GET_ROUTES] + [f"POST {r}" for r in POST_ROUTES]}
+    openapi = {"openapi": "3.1.0", "info": {"title": TOOL, "version": VERSION, "description": DISCLAIMER}, "paths": paths}
+    bodies = {"/": index, "/health": counts, "/v1/health": counts, "/v1/rules": {"version": 1, "rules": listed}, "/openapi.json": openapi}
+    return {k: json.dumps(v, ensure_ascii=False) for k, v in bodies.items()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.metrics import fixed
+from ..operators import scoring
 from ..operators.catalogue import CATEGORIES
 
 THRESHOLDS = (15, 25, 35, 45, 55, 65, 75)
@@ -27,8 +29,9 @@ def distribution(scored: DataFrame, corpus: str = "corpus") -> DataFrame:
     return hist.groupBy(corpus).agg(F.sum("k").alias("n"), mean.alias("mean"), quantile(0.5).alias("median"), F.min("score").alias("min"), F.max("score").alias("max"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"))
 
 
-def percent(x: Column) -> Column:
-    return F.floor(x * 100 + 0.5).cast("int")
+def percent(part, whole) -> Column:
+    """100 * part / whole, rounded; null for a whole of zero. The product comes first: it is exact."""
+    return F.floor(F.try_divide(100 * (F.col(part) if isinstance(part, str) else part), whole) + 0.5).cast("int")
 
 
 def sweep(scored: DataFrame, positive: Column, negative: Column, thresholds: tuple = THRESHOLDS) -> DataFrame:
@@ -38,7 +41,7 @@ def sweep(scored: DataFrame, positive: Column, negative: Column, thresholds: tup
     columns += [F.array(*(F.count_if(side & (F.col("score") >= t)) for t in thresholds)).alias(name) for side, name in ((positive, "tp"), (negative, "fp"))]
     rows = scored.agg(*columns).select("positives", "negatives", F.posexplode(F.arrays_zip(F.array(*map(F.lit, thresholds)).alias("threshold"), "tp", "fp")).alias("k", "r"))
     rows = rows.select(F.col("r.threshold").alias("threshold"), F.col("r.tp").alias("tp"), "positives", F.col("r.fp").alias("fp"), "negatives")
-    return rows.withColumn("recall", percent(F.try_divide("tp", "positives"))).withColumn("fpr", percent(F.try_divide("fp", "negatives"))).withColumn("precision", percent(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))))
+    return rows.withColumn("recall", percent("tp", "positives")).withColumn("fpr", percent("fp", "negatives")).withColumn("precision", percent("tp", F.col("tp") + F.col("fp")))
 
 
 def per_category(scored: DataFrame, corpus: str = "corpus") -> DataFrame:
@@ -51,7 +54,7 @@ def per_category(scored: DataFrame, corpus: str = "corpus") -> DataFrame:
     wide = wide.groupBy(corpus).agg(*aggregates)
     cells = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(c.id).alias("category"), F.lit(c.tier).alias("tier"), F.col(f"h{i}").alias("hits"), F.col(f"d{i}").alias("with_hit")) for i, c in enumerate(CATEGORIES)))
     rows = wide.select(corpus, "docs", "words", F.explode(cells).alias("c")).select(corpus, "docs", "words", "c.*")
-    return rows.withColumn("doc_pct", percent(F.col("with_hit") / F.col("docs"))).withColumn("per1k", F.coalesce(fixed(F.try_divide(F.col("hits") * 1000, F.col("words")), 2), F.lit(0.0)))
+    return rows.withColumn("doc_pct", percent("with_hit", "docs")).withColumn("per1k", F.coalesce(fixed(F.try_divide(F.col("hits") * 1000, F.col("words")), 2), F.lit(0.0)))
 
 
 def lambda_of(i: int):
@@ -74,9 +77,15 @@ def lift(scored: DataFrame, corpus: str = "corpus", names: tuple = ("ai", "chat"
 
 
 def extremes(scored: DataFrame, k: int = 5, highest: bool = True, id_col: str = "doc_id") -> DataFrame:
-    """The k documents of highest or lowest score, ties by id."""
+    """The k documents of highest or lowest score, ties by id, with their three best categories: id, count and an example
+    of at most 70 units."""
     order = F.desc("score") if highest else F.asc("score")
-    return scored.orderBy(order, id_col).limit(k)
+    top = scored.orderBy(order, id_col).limit(k)
+    if "hits" not in scored.columns:
+        return top
+    best = F.slice(scoring.ranked_categories(), 1, 3)
+    said = F.transform(best, lambda c: F.struct(c["category"].alias("category"), c["count"].alias("count"), text.first_units(c["hits"][0]["match"], 70).alias("example")))
+    return top.withColumn("categories", said)
 
 
 def typography(scored: DataFrame, corpus: str = "corpus") -> DataFrame:

@@ -104,12 +104,8 @@ def category_tables(only: list[str] | None = None, cut: bool = True) -> str:
 
 
 def fixed(x: str, places: int) -> str:
-    if places == 1:
-        s = f"(8 * ({x}) + 2 * ({x}))"
-        part = f"({s} - 8 * ({x}))"
-        err = f"((8 * ({x}) - ({s} - {part})) + (2 * ({x}) - {part}))"
-        return f"(CASE WHEN {s} + 0.5::DOUBLE = floor({s} + 0.5::DOUBLE) AND {err} < 0 THEN floor({s} + 0.5::DOUBLE) - 1 ELSE floor({s} + 0.5::DOUBLE) END / 10.0::DOUBLE)"
-    return f"(floor(({x}) * {10**places} + 0.5::DOUBLE) / {float(10**places)}::DOUBLE)"
+    """Rounding by whole numbers: a double times 2^80 is one, as far as it matters, and the rest is their arithmetic."""
+    return f"(((({x}) * {2**80}::DOUBLE)::HUGEINT * {2 * 10**places} + {2**80}) // {2**81})::DOUBLE / {10**places}::DOUBLE"
 
 
 def counts(parts: str, least: int) -> str:
@@ -148,14 +144,14 @@ def placed(most: int | None = None) -> str:
         for j, p in enumerate(c.patterns):
             view = "working" if c.id in STRUCTURAL else "norm"
             r = dialect.re2(p.regex, p.flags)
-            parts.append(f"SELECT doc_id, raw, {i} AS c, {j} AS p, {q(c.id)} AS category, {q(f'{c.id}/{p.id}')} AS \"ruleId\", {q(on[c.id])} AS severity, {extract(view, r)} AS hit, {gaps(view, r)} AS gap FROM v")
+            parts.append(f"SELECT doc_id, raw, {i} AS c, {j} AS p, {q(c.id)} AS category, {q(c.label)} AS label, {q(c.tier)} AS tier, {q(c.why)} AS help, {q(f'{c.id}/{p.id}')} AS \"ruleId\", {q(on[c.id])} AS severity, {extract(view, r)} AS hit, {gaps(view, r)} AS gap FROM v")
     lead = f"regexp_extract(m, '^[.!?]?{S}*')"
     cap = f"WHERE rank <= {most}" if most else ""
     return f"""h0 AS ({' UNION ALL '.join(parts)}), h1 AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM h0 WHERE len(hit) > 0),
 h2 AS (SELECT *, hit[i] AS m, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS off FROM h1),
 h3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY p, i) AS rank, CASE WHEN length({lead}) < length(m) THEN length({lead}) ELSE 0 END AS lead FROM h2),
 h4 AS (SELECT *, left(raw, (off + lead)::BIGINT) AS ahead, {shown('substr(m, lead + 1)', False)} AS match FROM h3 {cap}),
-f AS (SELECT doc_id, c, p, rank, category, "ruleId", severity, match, {units('match')} AS size, length(ahead) - length(replace(ahead, chr(10), '')) + 1 AS line,
+f AS (SELECT doc_id, raw, c, p, rank, category, label, tier, help, "ruleId", severity, match, {units('match')} AS size, length(ahead) - length(replace(ahead, chr(10), '')) + 1 AS line,
   {units("string_split(ahead, chr(10))[-1]")} + 1 AS "column", {units("string_split(ahead, chr(10))[-1]")} + 1 + {units("string_split(match, chr(10))[1]")} AS "endColumn", {units('ahead')} AS "offset" FROM h4)"""
 
 
@@ -165,8 +161,10 @@ rec AS (SELECT doc_id, c, o, [{'s': "offset", 'e': "offset" + size, 'o': o}] AS
   FROM rec JOIN o ON o.doc_id = rec.doc_id AND o.c = rec.c AND o.o = rec.o + 1),
 top AS (SELECT doc_id, c, arg_max(kept, o) AS kept FROM rec GROUP BY doc_id, c), keep AS (SELECT doc_id, c, unnest(kept).o AS o FROM top),
 d AS (SELECT o.* FROM o JOIN keep USING (doc_id, c, o))"""
-FINDING = 'doc_id, line, "column", "endColumn", "offset", "ruleId", severity, match'
-LINTED = f"WITH RECURSIVE {scores(cut=False, zero=1.6)}, {placed()}, {DEDUPED}, lc AS (SELECT sc.doc_id, sc.score, sc.band, count(d.doc_id) FILTER (severity = 'error') AS errors, count(d.doc_id) FILTER (severity = 'warn') AS warnings FROM sc LEFT JOIN d ON d.doc_id = sc.doc_id GROUP BY ALL)"
+#: What a finding says beside its place; JSON text escapes the match.
+MESSAGE = "label || ': ' || to_json(CASE WHEN size > 60 THEN left(match, 59) || '…' ELSE match END)::VARCHAR"
+FINDING = f"""doc_id, line, "column", "endColumn", "offset", "ruleId", severity, match, {MESSAGE} AS message, coalesce(string_split(raw, chr(10))[line], '') AS text"""
+LINTED = f"WITH RECURSIVE {scores(cut=False, zero=1.6)}, {placed()}, {DEDUPED}, lc AS (SELECT sc.doc_id, sc.score, sc.band, sc.words, count(d.doc_id) FILTER (severity = 'error') AS errors, count(d.doc_id) FILTER (severity = 'warn') AS warnings FROM sc LEFT JOIN d ON d.doc_id = sc.doc_id GROUP BY ALL)"
 
 
 def masked(values: list[str], regexes: list[str], keep: bool = False) -> str:
@@ -239,6 +237,30 @@ def _quantile(p: float) -> str:
     return f"list_sort(list(score))[least(count(*) - 1, floor(count(*) * {p}::DOUBLE))::BIGINT + 1]"
 
 
+TOP = "t AS (SELECT doc_id, points, ordinal, category, tier, '' AS label, unnest(range(1, least(3, n) + 1)) AS i, surfaces FROM cat), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, ordinal, i) - 1 AS rank, category, tier AS severity, surfaces[i] AS match, label FROM t)"
+_SAID = "ec AS (SELECT doc_id, string_agg(category || ':' || n || ':' || left(surfaces[1], 70), '|' ORDER BY points DESC, ordinal) AS categories FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, ordinal) AS o FROM cat) WHERE o <= 3 GROUP BY doc_id)"
+
+
+def _escaped(x: str, prop: bool = False) -> str:
+    for a, b in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A")) + (((":", "%3A"), (",", "%2C")) if prop else ()):
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+def _github() -> str:
+    of = f"""'::' || CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END || ' file=' || {_escaped("'docs/a:' || doc_id || '.md'", True)} || ',line=' || line || ',col=' || "column" || ',endColumn=' || "endColumn" || ',title=' || {_escaped('label', True)} || '::' || {_escaped(f"{MESSAGE} || ' [' || " + '"ruleId"' + " || '] — ' || help")}"""
+    over = "'::error file=docs/a%3A' || doc_id || '.md,line=1,title=Score threshold::Document score ' || score || ' (' || band || ') is at or above the configured threshold.'"
+    return f"{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, {of} AS value FROM d UNION ALL SELECT 'docs/a:' || doc_id || '.md', {over} FROM lc WHERE score >= 25"
+
+
+def _admitted(ip: str, limit: int, seconds: int) -> str:
+    """Table w: one row for each event and whether a sliding log admits it, event after event."""
+    return f"""WITH RECURSIVE e AS (SELECT {ip} AS ip, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {ip} ORDER BY ts) AS k FROM events),
+w AS (SELECT ip, k, t, true AS ok, [t] AS held FROM e WHERE k = 1
+  UNION ALL SELECT e.ip, e.k, e.t, len(list_filter(held, lambda x: x > e.t - {seconds * 1_000_000})) < {limit},
+    CASE WHEN len(list_filter(held, lambda x: x > e.t - {seconds * 1_000_000})) < {limit} THEN list_append(list_filter(held, lambda x: x > e.t - {seconds * 1_000_000}), e.t) ELSE held END FROM w JOIN e ON e.ip = w.ip AND e.k = w.k + 1)"""
+
+
 _SELF = ", ".join(f"({q(c.id)}, {q(p.id)}, {n}, {q(e)}, {q(dialect.re2(p.regex, p.flags))})" for c in CATEGORIES for p in c.patterns for n, e in enumerate(p.examples))
 _UNION, _FLAGS = union_pattern(BY_ID["negative_parallelism"])
 _UNION = dialect.re2(_UNION, _FLAGS)
@@ -257,8 +279,8 @@ ORACLES: dict[str, str] = {
     "is_lintable": _lintable(),
     "em_dash": metric(f"dashes AS total, spaced, {fixed('dashes * 1000.0::DOUBLE / greatest(raw_words, 1)', 2)} AS \"perThousand\", CASE WHEN dashes > 0 THEN {fixed('spaced::DOUBLE / nullif(dashes, 0)', 2)} ELSE 0 END AS \"spacedShare\", dash_flag AS flag"),
     "quotes": metric("curly, straight, mixed, mixed AS flag"),
-    "burstiness": metric(f"len(s) AS sentences, CASE WHEN len(s) >= 5 THEN {fixed('s_mean', 1)} END AS \"meanLength\", s_flag AS flag"),
-    "paragraphs": metric(f"len(p) AS paragraphs, CASE WHEN len(p) >= 3 THEN {fixed('p_mean', 1)} END AS \"meanLength\", p_flag AS flag"),
+    "burstiness": metric(f"len(s) AS sentences, CASE WHEN len(s) >= 5 THEN {fixed('s_mean', 1)} END AS \"meanLength\", CASE WHEN len(s) >= 5 THEN {fixed('s_cv', 3)} END AS cv, s_flag AS flag, CASE WHEN len(s) < 5 THEN 'too few sentences' END AS note"),
+    "paragraphs": metric(f"len(p) AS paragraphs, CASE WHEN len(p) >= 3 THEN {fixed('p_mean', 1)} END AS \"meanLength\", CASE WHEN len(p) >= 3 THEN {fixed('p_cv', 3)} END AS cv, p_flag AS flag"),
     **{f"hits_{c.id}": hits(c.id) for c in CATEGORIES},
     "match_category": f"WITH {views(masking=False)} SELECT doc_id, {count('norm', _UNION)} AS n, {extract('norm', _UNION)}[1] AS first_match, length({gaps('norm', _UNION)}[1]) AS first_offset FROM v WHERE {count('norm', _UNION)} > 0",
     "category_points": f"WITH {views()}, {category_tables()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, ordinal) - 1 AS rank, category, n AS \"count\", n_distinct AS \"distinct\", points, {fixed(f'n * coalesce(1000::DOUBLE / nullif({count("norm", WORD)}, 0), 0)', 2)} AS \"per1000Words\" FROM cat JOIN v USING (doc_id)",
@@ -266,7 +288,10 @@ ORACLES: dict[str, str] = {
     "stream_score": f"WITH {scores()} SELECT doc_id, words AS word_count, score, band FROM sc",
     "score_only": f"WITH {scores(only=['ai_vocabulary', 'rule_of_three'])} SELECT doc_id, score, band FROM sc",
     "band": f"WITH {scores()} SELECT band, count(*) AS docs FROM sc GROUP BY band",
-    "top_hits": f"WITH {views()}, {category_tables()}, t AS (SELECT doc_id, points, ordinal, category, tier, unnest(range(1, least(3, n) + 1)) AS i, surfaces FROM cat), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, ordinal, i) - 1 AS rank, category, tier AS severity, surfaces[i] AS match FROM t) SELECT * FROM r WHERE rank < 20",
+    "top_hits": f"WITH {views()}, {category_tables()}, {TOP} SELECT * EXCLUDE (label) FROM r WHERE rank < 20",
+    "reports": f"""WITH {scores()}, {TOP}, rc AS (SELECT doc_id, string_agg(category || ':' || n || ':' || n_distinct || ':' || points, ',' ORDER BY points DESC, ordinal) AS categories FROM cat GROUP BY doc_id),
+rt AS (SELECT doc_id, string_agg(category || ':' || severity || ':' || match, '|' ORDER BY rank) AS top FROM r WHERE rank < 20 GROUP BY doc_id)
+SELECT nullif(doc_id - doc_id % 3, 0) AS doc_id, score, band, words AS "wordCount", coalesce(categories, '') AS categories, sha256(coalesce(top, '')) AS top_sha FROM sc LEFT JOIN rc USING (doc_id) LEFT JOIN rt USING (doc_id)""",
     "severity_resolve": f"SELECT * FROM (VALUES {', '.join(f'({q(c.id)}, {q(c.tier)}, {q(_RESOLVED[c.id])})' for c in CATEGORIES)}) t(category, tier, severity)",
     "positions": f"WITH {views()}, {placed()} SELECT {FINDING} FROM f",
     "max_hits": f"WITH {views()}, {placed(1)} SELECT {FINDING} FROM f",
@@ -282,16 +307,21 @@ ORACLES: dict[str, str] = {
     "threshold_sweep": f"WITH {scores()}, l AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id), t(threshold) AS (VALUES {', '.join(f'({t})' for t in SWEPT)}), r AS (SELECT threshold, count(*) FILTER (quality = 1 AND score >= threshold) AS tp, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0 AND score >= threshold) AS fp, count(*) FILTER (quality = 0) AS negatives FROM sc JOIN l USING (doc_id) CROSS JOIN t GROUP BY threshold) SELECT *, floor(100.0::DOUBLE * tp / nullif(positives, 0) + 0.5::DOUBLE)::INT AS recall, floor(100.0::DOUBLE * fp / nullif(negatives, 0) + 0.5::DOUBLE)::INT AS fpr, floor(100.0::DOUBLE * tp / nullif(tp + fp, 0) + 0.5::DOUBLE)::INT AS precision FROM r",
     "category_density": f"WITH {_PER} SELECT corpus, category, hits, with_hit, doc_pct, per1k FROM per",
     "category_lift": _lift(),
-    "top_false_positives": f"WITH {CORPORA} SELECT doc_id, score, words AS word_count FROM co WHERE corpus = 'human' ORDER BY score DESC, doc_id LIMIT 5",
-    "bottom_misses": f"WITH {CORPORA} SELECT doc_id, score, words AS word_count FROM co WHERE corpus = 'ai' ORDER BY score, doc_id LIMIT 5",
+    "top_false_positives": f"WITH {CORPORA}, {_SAID} SELECT doc_id, score, words AS word_count, coalesce(categories, '') AS categories FROM co LEFT JOIN ec USING (doc_id) WHERE corpus = 'human' ORDER BY score DESC, doc_id LIMIT 5",
+    "bottom_misses": f"WITH {CORPORA}, {_SAID} SELECT doc_id, score, words AS word_count, coalesce(categories, '') AS categories FROM co LEFT JOIN ec USING (doc_id) WHERE corpus = 'ai' ORDER BY score, doc_id LIMIT 5",
     "typography": f"WITH {views(before(planted.TYPOGRAPHY))}, {METRICS} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS corpus, {fixed('sum(dashes) * 1000::DOUBLE / nullif(sum(words), 0)', 2)} AS em_dashes, round({fixed(f'avg(CASE WHEN len(s) >= 5 THEN {fixed("s_cv", 3)} END)', 3)}, 2) AS mean_cv FROM m GROUP BY 1",
     "glob_match": _globs(),
     "clean_wikitext": wiki(),
     "api_codes": f"SELECT doc_id AS request_id, {REQUEST} AS code, CASE {REQUEST} WHEN 'method_not_allowed' THEN 405 WHEN 'not_found' THEN 404 ELSE CASE WHEN {REQUEST} IS NULL THEN 200 ELSE 400 END END AS status FROM documents",
     "api_score": f"WITH {scores(cut=False, zero=1.6)} SELECT doc_id AS request_id, score, band, words FROM sc WHERE {REQUEST} IS NULL",
     "api_score_all": f"WITH {scores(cut=False, zero=1.6)} SELECT doc_id AS request_id, 200 AS status, score, band, words FROM sc",
-    "report_json": f"{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, score, errors FROM lc",
-    "report_github": f"{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, '::error file=docs/a%3A' || doc_id || '.md,line=1,title=Score threshold::Document score ' || score || ' (' || band || ') is at or above the configured threshold.' AS value FROM lc WHERE score >= 25",
-    "report_sarif": f"WITH RECURSIVE {views()}, {placed()}, {DEDUPED} SELECT category, CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END AS level, count(*) AS n FROM d GROUP BY 1, 2",
+    "report_json": f"""{LINTED}, one AS (SELECT doc_id, "ruleId" AS rule, line, {MESSAGE} AS message, row_number() OVER (PARTITION BY doc_id ORDER BY line, "column", "ruleId", rank) AS o FROM d)
+SELECT 'docs/a:' || lc.doc_id || '.md' AS path, score, band, words, errors, warnings, score >= 25 AS over, errors + warnings AS findings, rule, line, message FROM lc LEFT JOIN one ON one.doc_id = lc.doc_id AND o = 1""",
+    "report_github": _github(),
+    "report_sarif": f"""{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, category, CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END AS level, {MESSAGE} || ' — ' || help AS message, line, "column", "endColumn", match, tier, string_split("ruleId", '/')[2] AS pattern, score FROM d JOIN lc USING (doc_id)""",
+    "rate_limit": f"{_admitted('user_id::VARCHAR', 3, 86_400)} SELECT ip, count(*) AS requests, count(*) FILTER (ok) AS admitted, max(t) FILTER (NOT ok) AS last_refused FROM w GROUP BY ip",
+    "rate_limit_default": f"{_admitted('event_type', 120, 60)} SELECT ip, count(*) AS requests, count(*) FILTER (ok) AS admitted FROM w GROUP BY ip",
+    "api_get": "SELECT * FROM (VALUES (0, 200, NULL, NULL, NULL, NULL), (1, 200, 'ok', 20, 95, NULL), (2, 200, 'ok', 20, 95, NULL), (3, 200, NULL, NULL, NULL, 20), (4, 200, NULL, NULL, NULL, NULL), (5, 404, NULL, NULL, NULL, NULL)) t(request_id, code, status, categories, patterns, rules)",
+    "over_threshold": f"""{LINTED} SELECT doc_id::VARCHAR AS "filePath", score FROM lc WHERE score >= 25""",
     "report_pretty": f"{LINTED} SELECT 'docs/a:' || doc_id || '.md' AS path, 1 + errors + warnings + CASE WHEN score >= 25 THEN 1 ELSE 0 END AS lines FROM lc WHERE errors + warnings > 0 OR score >= 25",
 }

@@ -13,6 +13,8 @@ EXAMPLES = [e for c in CATEGORIES for p in c.patterns for e in p.examples]
 TYPOGRAPHY = [
     "Plain — with a dash — and “curly” quotes, it’s \"mixed\".", "No break, thin space… and ‘single’.", "Café and क़ stay; 2′ 3″.", "All 'straight' and \"plain\".",
     "a — b — c — d — e — f", "Å is composed to one letter.", "Nothing to fold here.",
+    "x —y—z " * 37 + "a — b — c — d",
+    "\n\n".join(" ".join(f"{w}{'a' * (i % 7)}" for i in range(n)) + "." for w, n in (("one", 17), ("two", 19), ("three", 18), ("few", 4))) + "\n",
 ]
 STRUCTURE = [
     "---\ntitle: x\n---\nBody of the text.", "+++\na = 1\n+++\nMore body.", "Run `vital role` and ```\nthe code\n``` end.", "Open fence ```\nnever closed, a testament", "~~~\ntilde\n~~~ after `inline` code",

@@ -1,7 +1,7 @@
 """Report formats over linted documents: columns ``path``, those of ``linting.lint``.
 
 Each format has a row form, which Spark writes in parallel (``write_lines``), and a whole-document form
-for the driver, which refuses more than ``MAX_DOCUMENTS`` documents."""
+for the driver, which refuses more than ``MAX_DOCUMENTS`` documents or ``MAX_LINES`` findings. Each evaluates its rows once."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ import json
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.text import first_units, utf16_length
 from ..operators.catalogue import CATEGORIES, TIER_SEVERITY
 
-MAX_DOCUMENTS = 10_000
+MAX_DOCUMENTS, MAX_LINES = 10_000, 200_000
 DISCLAIMER = "Style signals only. Not evidence of authorship. Published AI detectors show false-positive rates up to 61% on human text by non-native English writers."
 TOOL, VERSION = "lexilake", "0.1.0"
 LEVEL = {"error": "error", "warn": "warning", "off": "none"}
@@ -33,16 +34,16 @@ def json_lines(linted: DataFrame) -> DataFrame:
     return linted.select("path", F.to_json(result_struct(), _KEEP_NULLS).alias("value"))
 
 
-def _bounded(rows: DataFrame) -> list[Row]:
-    got = rows.limit(MAX_DOCUMENTS + 1).collect()
-    if len(got) > MAX_DOCUMENTS:
-        raise ValueError(f"over {MAX_DOCUMENTS} documents: write the row form instead")
+def _bounded(rows: DataFrame, most: int = MAX_DOCUMENTS, what: str = "documents") -> list[Row]:
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"over {most} {what}: write the row form instead")
     return got
 
 
 def json_report(linted: DataFrame, summary: Row) -> str:
     results = [json.loads(r.value) for r in _bounded(json_lines(linted).orderBy("path"))]
-    head = {"files": summary.fileCount, "errors": summary.errorCount, "warnings": summary.warningCount, "overThreshold": [r.asDict() for r in summary.overThreshold], "failed": summary.failed}
+    head = {"files": summary.fileCount, "errors": summary.errorCount, "warnings": summary.warningCount, "overThreshold": [{"filePath": r["filePath"], "score": r["score"]} for r in results if r["thresholdExceeded"]], "failed": summary.failed}
     return json.dumps({"version": 1, "summary": head, "disclaimer": DISCLAIMER, "results": results}, indent=2, ensure_ascii=False)
 
 
@@ -63,11 +64,11 @@ def github_lines(linted: DataFrame) -> DataFrame:
 
     over = F.concat(F.lit("::error file="), _escaped(F.col("path"), True), F.lit(",line=1,title=Score threshold::Document score "), F.col("score"), F.lit(" ("), F.col("band"), F.lit(") is at or above the configured threshold."))
     lines = F.concat(F.transform("findings", command), F.when(F.col("thresholdExceeded"), F.array(over)).otherwise(F.array().cast("array<string>")))
-    return linted.select("path", F.posexplode(lines).alias("n", "value"))
+    return linted.select("path", F.inline(F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("n"), x.alias("value")))))
 
 
 def github_report(linted: DataFrame, summary: Row) -> str:
-    lines = [r.value for r in github_lines(linted.limit(MAX_DOCUMENTS)).orderBy("path", "n").collect()] if len(_bounded(linted.select("path"))) else []
+    lines = [r.value for r in _bounded(github_lines(linted).orderBy("path", "n"), MAX_LINES, "findings")]
     return "\n".join([*lines, f"::notice title={TOOL}::{summary.errorCount} errors, {summary.warningCount} warnings across {summary.fileCount} files. Style signals only — not evidence of authorship."])
 
 
@@ -85,9 +86,8 @@ def sarif_results(linted: DataFrame) -> DataFrame:
 
 
 def sarif_report(linted: DataFrame) -> str:
-    _bounded(linted.select("path"))
     rules = [{"id": c.id, "name": c.label, "shortDescription": {"text": c.label}, "fullDescription": {"text": f"{c.why} False positives: {c.caution}"}, "defaultConfiguration": {"level": LEVEL[TIER_SEVERITY[c.tier]]}, "properties": {"tier": c.tier, "tags": ["style", "ai-generated-text"]}} for c in CATEGORIES]
-    results = [json.loads(r.value) for r in sarif_results(linted).orderBy("path", "n").collect()]
+    results = [json.loads(r.value) for r in _bounded(sarif_results(linted).orderBy("path", "n"), MAX_LINES, "findings")]
     run = {"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": rules}}, "results": results}
     return json.dumps({"$schema": "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
 
@@ -103,7 +103,7 @@ def pretty_blocks(linted: DataFrame, verbose: bool = False) -> DataFrame:
     mark = F.create_map(*(F.lit(x) for kv in TIER_MARK.items() for x in kv))
 
     def line(f: Column) -> Column:
-        match = F.when(F.length(f["match"]) > 48, F.concat(F.substring(f["match"], 1, 47), F.lit("…"))).otherwise(f["match"])
+        match = F.when(utf16_length(f["match"]) > 48, F.concat(first_units(f["match"], 47), F.lit("…"))).otherwise(f["match"])
         quoted = F.to_json(F.struct(match.alias("x")))
         quoted = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
         kind = F.when(f["severity"] == "error", "error  ").otherwise("warning")
@@ -126,7 +126,7 @@ def pretty_report(linted: DataFrame, summary: Row, verbose: bool = False) -> str
     if not (summary.errorCount or summary.warningCount or summary.overThreshold):
         end = f"✓ {count(summary.fileCount, 'file')} checked, nothing flagged"
     else:
-        bits = [count(n, what) for n, what in ((summary.errorCount, "error"), (summary.warningCount, "warning"), (len(summary.overThreshold), "document")) if n]
+        bits = [count(n, what) for n, what in ((summary.errorCount, "error"), (summary.warningCount, "warning"), (summary.overThreshold, "document")) if n]
         end = ", ".join(bits) + f" in {count(summary.fileCount, 'file')}"
     return "\n".join([*blocks, "", end, DISCLAIMER])
 

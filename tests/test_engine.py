@@ -198,9 +198,10 @@ def test_extract_prose(spark):
 
 def test_summary(spark):
     docs = linting.lint(frame(spark, [MACHINE, CLEAN]), threshold=50)
-    s = linting.summarize(docs, F.col("doc_id").cast("string")).first()
-    assert (s.fileCount, s.failed, [x.filePath for x in s.overThreshold]) == (2, True, ["0"]) and s.errorCount > 0
-    calm = linting.summarize(linting.quiet(linting.lint(frame(spark, ["She played a vital role."]))), F.lit("x"), 0).first()
+    s = linting.summarize(docs).first()
+    assert (s.fileCount, s.failed, s.overThreshold) == (2, True, 1) and s.errorCount > 0
+    assert [x.filePath for x in linting.over_threshold(docs, F.col("doc_id").cast("string")).collect()] == ["0"]
+    calm = linting.summarize(linting.quiet(linting.lint(frame(spark, ["She played a vital role."]))), 0).first()
     assert (calm.errorCount, calm.warningCount, calm.failed) == (0, 0, False)
 
 
@@ -215,7 +216,11 @@ def test_report(spark):
     scored = scoring.scored(frame(spark, [MACHINE, CLEAN]))
     rows = {r.doc_id: r for r in scoring.reports(scored).collect()}
     assert rows[0].categories[0].points == max(c.points for c in rows[0].categories) and rows[0].topHits[0].category == rows[0].categories[0].category
-    assert rows[1].categories is None
+    assert rows[1].categories == rows[1].topHits == []
+    docs = spark.createDataFrame([(1, MACHINE), (1, CLEAN), (None, MACHINE), (None, "She played a vital role.")], "doc_id long, text string")
+    got = [(r.doc_id, [c.category for c in r.categories], len(r.topHits) > 0) for r in scoring.reports(scoring.scored(docs)).collect()]
+    own = [c.category for c in rows[0].categories]
+    assert sorted(got, key=str) == sorted([(1, own, True), (1, [], False), (None, own, True), (None, ["significance_statements"], True)], key=str)
 
 
 def test_wikitext(spark):

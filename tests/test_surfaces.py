@@ -1,11 +1,14 @@
 """Configuration, files, reports, request batches, corpus analytics, streams."""
 
 import json
+import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from test_engine import CLEAN, MACHINE
 
+from lexilake.functions import metrics, text
 from lexilake.operators import linting, scoring
 from lexilake.plans import api, config, corpus
 from lexilake.sources import files, sinks
@@ -88,7 +91,7 @@ def linted(spark):
 
 
 def test_reports(linted):
-    summary = linting.summarize(linted, F.col("path")).first()
+    summary = linting.summarize(linted).first()
     found = json.loads(sinks.json_report(linted, summary))
     assert found["summary"]["files"] == 2 and found["summary"]["failed"] and len(found["results"]) == 2
     assert set(found["results"][0]["findings"][0]) == set(sinks.FINDING_FIELDS)
@@ -132,7 +135,7 @@ def test_request_options(spark):
 
 
 def test_rate_limit(spark):
-    times = [0, 10, 20, 61, 65, 90]
+    times = [0, 10, 20, 60, 61, 65, 90, 90]
     log = spark.createDataFrame([("a", t) for t in times] + [("b", 5)], "ip string, t long").select("ip", F.timestamp_seconds("t").alias("ts"))
     got = [r.admitted for r in api.rate_limited(log, 2).where("ip = 'a'").orderBy("ts").collect()]
     want, kept = [], []
@@ -143,6 +146,34 @@ def test_rate_limit(spark):
     assert got == want
 
 
+def test_get_bodies(spark):
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(("/", "/health", "/v1/rules/", "/openapi.json", "/x"))], "request_id int, path string").withColumn("method", F.lit("GET")).withColumn("body", F.lit(None).cast("string"))
+    got = {r.request_id: (r.status, r.response and json.loads(r.response)) for r in api.responses(rows).collect()}
+    assert [got[i][0] for i in range(5)] == [200, 200, 200, 200, 404] and got[4][1] is None
+    assert got[1][1]["categories"] == 20 and got[1][1]["patterns"] == 95 and len(got[2][1]["rules"]) == 20
+    assert set(got[3][1]["paths"]) == {"/health", "/v1/rules", "/v1/lint", "/v1/score"} and "POST /v1/lint" in got[0][1]["routes"]
+
+
+def test_percent_and_fixed(spark):
+    """As 100 * a / b and as decimal rounding of the exact binary value."""
+    pairs = [(a, b) for b in range(1, 200) for a in range(b + 1)]
+    rows = spark.createDataFrame(pairs, "a int, b int").select("a", "b", corpus.percent("a", "b").alias("p"), *(metrics.fixed(F.col("a") / F.col("b"), n).alias(f"f{n}") for n in (1, 2, 3))).collect()
+    for r in rows:
+        assert r.p == math.floor(100 * r.a / r.b + 0.5)
+        for n in (1, 2, 3):
+            assert r[f"f{n}"] == float(Decimal(r.a / r.b).quantize(Decimal(10) ** -n, ROUND_HALF_UP)), (r.a, r.b, n)
+    assert spark.range(1).select(corpus.percent(F.lit(1), F.lit(0))).first()[0] is None
+
+
+def test_units_are_cut_between_characters(spark):
+    for x in ("a" * 70, "🚀" * 40, "a" + "🚀" * 40, "ab🚀"):
+        cut = spark.range(1).select(text.first_units(F.lit(x), 59)).first()[0]
+        want = x
+        while len(want.encode("utf-16-le")) > 118:
+            want = want[:-1]
+        assert cut == want
+
+
 def test_distribution(spark):
     scores = {"x": [3, 9, 1, 50, 7, 7], "y": [5]}
     docs = spark.createDataFrame([(k, s) for k, v in scores.items() for s in v], "corpus string, score int")
