@@ -458,6 +458,23 @@ def test_mixing(spark, messy, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixed_rows_take_what_the_mix_takes(spark, messy, empty):
+    """The rows with their texts take the same words; rows alike share, so that at most so many words are left over."""
+    for frame in (messy, spark.read.parquet(f"{SF}/documents.parquet"), messy.where("false").unionByName(messy.where("doc_id = 6"))):
+        got, want = mixing.mixed(frame).collect(), mixing.mix(frame).collect()
+        alike = Counter((r.doc_id, r.text) for r in got)
+        assert Counter((r.doc_id, r.source, r.text, r.lang) for r in got) == Counter((r.doc_id, r.source, r.text, r.lang) for r in frame.collect())
+        a = Counter((r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken) for r in got if alike[r.doc_id, r.text] == 1)
+        b = Counter((r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken) for r in want)
+        assert not a - b
+        for source in {r.source for r in want}:
+            x, y = (sum(r.taken for r in rows if r.source == source) for rows in (got, want))
+            assert 0 <= y - x < max(alike.values())
+    assert mixing.mixed(empty).count() == 0 and set(empty.columns) <= set(mixing.mixed(empty).columns)
+    plan = mixing.mixed(messy)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_mixing_takes_in_order_of_keys(spark):
     """Brute force, with qualities that are null, tiny, equal or mixed within a source."""
     rows = [(i, "ab"[i % 2] if i % 7 else None, "w " * (1 + i * 31 % 9), (None, 1e-9, 0.25, 1.0)[i % 4] if i % 2 else None) for i in range(600)]
