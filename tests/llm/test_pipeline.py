@@ -38,6 +38,7 @@ def test_stages(spark, tmp_path):
                     assert r.text == a[d].text or "[secret]" in r.text
         else:
             assert set(b) == set(a) and all(r["size"] == len(WORD.findall(a[d].text or "")) for d, r in b.items())
+            assert out.columns == [*columns, "size", "source_size", "target", "taken"] and all(b[d].text == a[d].text for d in b)
         before = out
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, before.collect()))
 
