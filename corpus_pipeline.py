@@ -39,8 +39,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How much of each document the mix takes."""
-    return mixing.mix(docs)
+    """The corpus: every document left, its text as redacted, and how many of its words the mix takes."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
