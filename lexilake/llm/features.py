@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,16 +132,18 @@ def least_ids(ids: DataFrame, limit: int) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, where: str, limit: int, longest: int = LONGEST) -> DataFrame:
     """(id, text, y) of at most ``limit`` labelled documents that satisfy ``where`` over ``id``, those
     of least hash. Rows with a null id, label or text, and texts of more than ``longest`` bytes, are left out;
-    repeated ids count once, by their smallest label and smallest text. The two limits bound what is broadcast, and
-    what a driver gathers: ``limit`` texts of ``longest`` bytes and some five features a word or byte of them."""
+    repeated ids count once, by their smallest label and smallest text. The two limits bound what is
+    broadcast and what one task fits a model on: ``limit`` texts of ``longest`` bytes, some features a word and byte."""
     some = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     some = some.where(where).groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where((F.octet_length("text") <= longest) & F.col("text").isNotNull())
     return text.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
-def gather(sample: DataFrame, weighted: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """The sample's feature rows on the driver, in order of id: slots, values, labels."""
+def fitted(sample: DataFrame, weighted: bool, fit: Callable):
+    """What ``fit(rows, values, y)`` makes of the sample: for each row in order of id its slots, values (none if not
+    ``weighted``) and label. The features are made in parallel; the fit, whose input the sample's limits bound, runs in one
+    task, and only its result, a model of fixed size, comes to the driver."""
 
     def work(batches):
         for b in batches:
@@ -150,13 +153,25 @@ def gather(sample: DataFrame, weighted: bool) -> tuple[list[np.ndarray], list[np
                     d, s, v = shares(run)
                 else:
                     d, s = distinct(run)
-                    v = np.ones(len(s), np.float32)
+                    v = np.zeros(0, np.float32)
                 cut = np.searchsorted(d, np.arange(n + 1))
                 part = [slice(cut[i], cut[i + 1]) for i in range(n)]
                 yield pa.record_batch([b.column(0).slice(run.lo, n), K.binary_array([s[p].astype(np.int32) for p in part]), K.binary_array([v[p] for p in part]), b.column(2).slice(run.lo, n)], ["id", "slots", "values", "y"])
 
-    rows = sorted(sample.select("id", "text", "y").mapInArrow(work, "id long, slots binary, values binary, y int").collect(), key=lambda r: r.id)
-    return [np.frombuffer(r["slots"], np.int32) for r in rows], [np.frombuffer(r["values"], np.float32) for r in rows], np.array([r.y for r in rows], np.int64)
+    def train(batches):
+        ids, slots, values, y = [], [], [], []
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            slots += [np.frombuffer(x.as_py(), np.int32) for x in b.column(1)]
+            values += [np.frombuffer(x.as_py(), np.float32) for x in b.column(2)]
+            y += b.column(3).to_pylist()
+        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        model = fit([slots[i] for i in order], [values[i] for i in order], np.array(y, np.int64)[order])
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = sample.select("id", "text", "y").mapInArrow(work, "id long, slots binary, values binary, y int")
+    got = rows.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(got[0].model) if got else fit([], [], np.zeros(0, np.int64))
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -13,6 +13,7 @@ text without n-grams; without labelled rows of both classes the score is the sha
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,8 +75,8 @@ def _fit(rows, y, smooth: float, c: float, towards_mean: float):
     ratio = (np.log(pos / pos.sum()) - np.log(neg / neg.sum())).astype(np.float32)
     values = []
     for s in rows:
-        v = ratio[s].astype(np.float64)
-        values.append(v / max(1e-9, float(np.sqrt((v * v).sum()))))
+        v = ratio[s]
+        values.append(v / np.float32(max(1e-9, math.sqrt(float((v * v).sum(dtype=np.float64))))))
     share = (y == 1).mean()
     cost = np.where(y == 1, c * 0.5 / share, c * 0.5 / (1 - share))
     w, bias = dual_descent(rows, values, np.where(y == 1, 1.0, -1.0), cost)
@@ -83,26 +84,30 @@ def _fit(rows, y, smooth: float, c: float, towards_mean: float):
     return ratio, w, bias, values
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", where: str = "true", limit: int = LIMIT, smooth: float = 1.0, c: float = 8.0, towards_mean: float = 0.0, folds: int = 4) -> Model:
-    rows, _, y = X.gather(X.labelled_sample(docs, labels, id_col, text_col, label, where, limit), False)
-    if not len(y) or len(set(y.tolist())) < 2:
+def fit(rows: list[np.ndarray], y: np.ndarray, smooth: float, c: float, towards_mean: float, folds: int) -> Model:
+    if len(set(y.tolist())) < 2:
         return Model(None, None, 0.0, 0.0, float((y == 1).mean()) if len(y) else 0.5)
     ratio, w, bias, values = _fit(rows, y, smooth, c, towards_mean)
+    margin = np.array([float(w[s] @ v) + bias for s, v in zip(rows, values)])
+    del values  # one fold's rows at a time
     fold = np.arange(len(y)) % folds
     if min(len(set(y[fold != k].tolist())) for k in range(folds)) == 2:
         margin = np.zeros(len(y))
         for k in range(folds):
             use = np.flatnonzero(fold != k)
-            r, v, z, _ = _fit([rows[i] for i in use], y[use], smooth, c, towards_mean)
+            r, v, z = _fit([rows[i] for i in use], y[use], smooth, c, towards_mean)[:3]
             for i in np.flatnonzero(fold == k):
                 x = r[rows[i]].astype(np.float64)
                 margin[i] = float(v[rows[i]] @ x) / max(1e-9, float(np.sqrt((x * x).sum()))) + z
-    else:
-        margin = np.array([float(w[s] @ v) + bias for s, v in zip(rows, values)])
     a, b = X.platt(margin, y)
     return Model((w * ratio).astype(np.float32), ratio, bias, a, b)
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", where: str = "true", limit: int = LIMIT, smooth: float = 1.0, c: float = 8.0, towards_mean: float = 0.0, folds: int = 4) -> Model:
+    sample = X.labelled_sample(docs, labels, id_col, text_col, label, where, limit)
+    return X.fitted(sample, False, lambda rows, _, y: fit(rows, y, smooth, c, towards_mean, folds))
+
+
 def _share(docs: DataFrame, model: Model):
     """The model's arrays travel once to each executor."""
     return docs.sparkSession.sparkContext.broadcast(model)

@@ -48,9 +48,12 @@ class Model:
 def fit(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam over the slots that occur, classes weighted alike."""
     flat = np.concatenate(rows)
-    used, column = np.unique(flat, return_inverse=True)
-    value = np.concatenate(values).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    used = np.flatnonzero(np.bincount(flat, minlength=X.SIZE))
+    place = np.zeros(X.SIZE, np.int32)
+    place[used] = np.arange(len(used))
+    column, value = place[flat], np.concatenate(values).astype(np.float32)
+    del flat
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     pull = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y != 1).mean()) / len(y)
     w, bias = np.zeros(len(used)), 0.0
     m, s, mb, sb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -68,9 +71,8 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, steps:
     return out, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", where: str = "true", limit: int = LIMIT) -> Model:
+def calibrated(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray) -> Model:
     """Three quarters of the sample fit the weights, the rest the calibration."""
-    rows, values, y = X.gather(X.labelled_sample(docs, labels, id_col, text_col, label, where, limit), True)
     test = np.arange(len(y)) % 4 == 3
     if len(set(y[~test].tolist())) < 2:
         return Model(None, 0.0, 0.0, 0.0)
@@ -82,6 +84,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(w, bias, a, b)
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", where: str = "true", limit: int = LIMIT) -> Model:
+    return X.fitted(X.labelled_sample(docs, labels, id_col, text_col, label, where, limit), True, calibrated)
+
+
 def base_counts(run: K.Run) -> dict[str, np.ndarray]:
     """The five counts for each document of the run."""
     n = run.hi - run.lo
