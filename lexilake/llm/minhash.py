@@ -16,7 +16,7 @@ Method
      are similar enough share one of their rarest shingles (a prefix of each set, in any one order), so
      only classes that do stay tied, and texts that have no more in common than a template fall apart.
   6. In what is left of a cluster every class outside its largest component is compared with all classes
-     of the cluster, block against block: a task holds at most some ``BLOCK`` and ``REST_BLOCK`` sets and
+     of the cluster, block against block: a task holds at most some ``BLOCK`` sets of either side and
      counts common shingles by an index, so no pairs are listed. No pair that shares a bucket is left
      undecided unless both are in one component already, where its link cannot change the result.
 
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import components, dropped, holds, hot_keys, salted_join, slot_bits, slot_of, taken_slots, written
 
-#: Sets in a block of all classes of a cluster, and of those outside its largest component.
-BLOCK, REST_BLOCK = 64, 128
+#: Least and greatest number of sets in a block; in between a cluster has some PARTS blocks. Every class is copied
+#: once for each block that it meets.
+LEAST_BLOCK, BLOCK, PARTS = 64, 512, 8
 #: Slots in which the sieve counts shingles: 2^SIEVE_BITS counts travel to the executors.
 SIEVE_BITS = 20
 PAIR, TIE, HEAD, TAIL = 0, 1, 2, 3
@@ -307,7 +308,8 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Links (a, b) between classes of different components of one cluster."""
     sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
     top = sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
-    top = written(top.select("cluster", "all", F.col("m.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / REST_BLOCK)).cast("int").alias("rb")), "tops")
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("all") / PARTS)))
+    top = written(top.select("cluster", "all", F.col("m.comp").alias("top"), F.ceil(F.col("all") / block).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.k")) / block)).cast("int").alias("rb")), "tops")
     full = salted_join(members.join(sets, "rep"), top.drop("all"), "cluster", hot_keys(top, "cluster", "all", members.count()))
 
     def blocks(n):

@@ -58,22 +58,21 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """(key) of more than 1/HOT_KEYS of ``total`` rows. The counts add up to ``total`` at most, so that fewer
-    than HOT_KEYS keys come back and may be broadcast."""
-    return counts.where(F.col(count) > max(8.0, total / HOT_KEYS)).select(key).distinct()
+def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> list:
+    """The keys with more than 1/HOT_KEYS of ``total`` rows. The counts add up to ``total`` at most, so that the
+    driver gets fewer than HOT_KEYS keys, whatever the table."""
+    return [r[0] for r in counts.where(F.col(count) > max(8.0, total / HOT_KEYS)).select(key).distinct().collect()]
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
     """``rows`` joined with ``table`` on ``key``. The rows of hot keys are dealt over SALTS tasks and the
     table's rows of those keys copied to each, so that no task gets all rows of one key."""
-    known = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    if not hot:
+        return rows.join(table, key)
     others = [c for c in rows.columns if c != key]
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)
-    left = rows.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
-    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    left = rows.withColumn("_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
 
 
 def slot_bits(keys: int) -> int:

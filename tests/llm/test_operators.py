@@ -751,7 +751,8 @@ def test_salted_join(spark):
     table = spark.createDataFrame([(1, 10), (3, 30), (4, 40)], "key long, y long")
     counts = rows.groupBy("key").agg(F.count("*").alias("k"))
     hot = hot_keys(counts, "key", "k", rows.count())
-    assert [r.key for r in hot.collect()] == [1]
+    assert hot == [1] and hot_keys(counts, "key", "k", 300 * 4096) == []
+    assert Counter(tuple(r) for r in salted_join(rows, table, "key", []).collect()) == Counter([(1, i, 10) for i in range(300)] + [(3, 0, 30)] * 2)
     assert Counter(tuple(r) for r in salted_join(rows, table, "key", hot).collect()) == Counter([(1, i, 10) for i in range(300)] + [(3, 0, 30)] * 2)
 
 
