@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import decontaminate, minhash, mixing, nbsvm, secret_scan
-from lexilake.llm.shared import new_folder
+from lexilake.llm.shared import new_folder, written
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS = 5
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = found.select(F.col("doc_id").alias("leaked_id")).distinct()
+    leaked = written(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")  # its size is known to the planner then
     return docs.join(leaked, docs.doc_id == leaked.leaked_id, "left_anti").select(*docs.columns)
 
 
