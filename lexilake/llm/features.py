@@ -35,7 +35,7 @@ def _slot(x: np.ndarray, family: int) -> np.ndarray:
 
 
 #: Characters of a run that are looked at in one piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes in a character n-gram of the text itself.
 CHARACTERS = 5
 FAMILIES = 7
@@ -82,7 +82,7 @@ def distinct(run: K.Run) -> tuple[np.ndarray, np.ndarray]:
     for _, d, s in grams(run):
         held.append((d << BITS) | s)
         size += len(d)
-        if size > 8 * PIECE:
+        if size > 16 * PIECE:
             held = [np.unique(np.concatenate(held))]
             size = len(held[0])
     key = np.sort(np.concatenate(held))
@@ -147,7 +147,7 @@ def fitted(sample: DataFrame, weighted: bool, fit: Callable):
 
     def work(batches):
         for b in batches:
-            for run in K.runs(b.column(1)):
+            for run in K.runs(b.column(1), PIECE):
                 n = run.hi - run.lo
                 if weighted:
                     d, s, v = shares(run)

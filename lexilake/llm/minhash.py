@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .shared import components, dropped, holds, hot_keys, salted_join, slot_bits, slot_of, taken_slots, written
@@ -410,13 +411,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     first = (F.col("value.doc_id") == F.col("doc_id")) & (F.col("value.text_hash") == F.col("text_hash"))
     marks = written(of.select("doc_id", "text_hash", first.alias("_first"), "n").where("NOT _first OR n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_first"), "marks")
 
+    # rows in no slot that a mark takes are passed on where they are; only the others meet the marks in a join
+    bits = slot_bits(4 * marks.count())
+    sent = docs.sparkSession.sparkContext.broadcast(taken_slots(marks.select(slot_of(F.xxhash64("_id", "_hash"), bits).alias("s")), bits))
+    key, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    slot = F.when(key.isNotNull(), slot_of(F.xxhash64(key, text_hash), bits))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
+
+    def split(marked: bool):
+        def work(batches):
+            for b in batches:
+                at = b.column(b.num_columns - 1)
+                hit = holds(sent.value, at.fill_null(0).to_numpy(zero_copy_only=False)) & at.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == marked)).select(list(range(b.num_columns - 1)))
+
+        return docs.select(*(docs[c] for c in docs.columns), slot.alias("_slot")).mapInArrow(work, schema)
+
+    some = split(True)
+
     def same(m: DataFrame):
-        return (docs[id_col].cast("long") == m["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == m["_hash"])
+        return (some[id_col].cast("long") == m["_id"]) & (F.xxhash64(some[text_col].cast("string")) == m["_hash"])
 
-    out = docs.join(marks, same(marks), "left_anti")
+    out = split(False).unionByName(some.join(marks, same(marks), "left_anti"))
     repeats = marks.where("_first")
     if repeats.head(1):
-        row = F.struct(*(docs[c] for c in docs.columns))
-        again = docs.join(repeats, same(repeats)).groupBy(repeats["_id"], repeats["_hash"]).agg(F.min(row).alias("_row"))
+        row = F.struct(*(some[c] for c in docs.columns))
+        again = some.join(repeats, same(repeats)).groupBy(repeats["_id"], repeats["_hash"]).agg(F.min(row).alias("_row"))
         out = out.unionByName(again.select("_row.*"))
     return out

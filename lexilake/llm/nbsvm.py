@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def work(batches):
         for b in batches:
-            for run in K.runs(b.column(1)):
+            for run in K.runs(b.column(1), X.PIECE):
                 yield pa.record_batch([b.column(0).slice(run.lo, run.hi - run.lo), pa.array(sent.value.scores(run))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "doc_id long, score double")
@@ -132,7 +132,7 @@ def keep(docs: DataFrame, model: Model, threshold: float, text_col: str = "text"
 
     def work(batches):
         for b in batches:
-            for run in K.runs(b.column(place)):
+            for run in K.runs(b.column(place), X.PIECE):
                 yield b.slice(run.lo, run.hi - run.lo).filter(pa.array(sent.value.scores(run) >= threshold))
 
     return docs.mapInArrow(work, docs.schema)

@@ -129,7 +129,7 @@ def apply_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def work(batches):
         for b in batches:
-            for run in K.runs(b.column(1)):
+            for run in K.runs(b.column(1), X.PIECE):
                 c = base_counts(run)
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
                 p = sent.value.scores(run)
