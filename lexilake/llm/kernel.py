@@ -1,7 +1,7 @@
 """Vectorised text kernel shared by the Arrow-batch operators.
 
 Everything works on the UTF-8 bytes of an Arrow string column: a batch is cut into runs of
-whole documents of about ``CHUNK`` bytes (a longer document forms a run of its own), and the
+whole documents of about ``RUN`` bytes (a longer document forms a run of its own), and the
 tokens of a run are found and hashed with numpy, never with a loop over tokens. Temporary
 arrays are some ten bytes per byte of the run (more per byte only for pieces of ``CHUNK`` bytes), so memory
 follows neither the batch's size nor, by much, that of one very long text.
@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: Bytes of a run of documents.
+RUN = 1 << 18
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -66,7 +68,7 @@ class Run:
     offsets: np.ndarray  # int64, hi - lo + 1 values from 0
 
 
-def runs(column: pa.Array, limit: int = CHUNK) -> Iterator[Run]:
+def runs(column: pa.Array, limit: int = RUN) -> Iterator[Run]:
     """Cut a string column into runs of whole documents. A null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
