@@ -21,8 +21,8 @@ Method
      undecided unless both are in one component already, where its link cannot change the result.
 
 Chance that a pair of similarity s shares no bucket: below 2 * (1 - s^rows)^side, which for the
-defaults is 4e-4 at s = 0.8 and 2e-5 at 0.85. Chance that one does: at most (side * s^rows)^2, which is
-2e-6 at 0.05 and 9e-3 at 0.2.
+defaults is 8e-4 at s = 0.8 and 6e-5 at 0.85. Chance that one does: at most (side * s^rows)^2, which is
+2e-6 at 0.05 and 8e-3 at 0.2.
 
 Defined results: null or wordless text: 0 shingles, alone in its component, kept. Null id: its
 component is null, kept. Rows that repeat an id are one document: they share a component, which holds
@@ -44,7 +44,7 @@ from .shared import components, dropped, holds, hot_keys, salted_join, slot_bits
 
 #: Least and greatest number of sets in a block; in between a cluster has some PARTS blocks. Every class is copied
 #: once for each block that it meets.
-LEAST_BLOCK, BLOCK, PARTS = 64, 512, 8
+LEAST_BLOCK, BLOCK, PARTS = 64, 128, 8
 #: Slots in which the sieve counts shingles: 2^SIEVE_BITS counts travel to the executors.
 SIEVE_BITS = 20
 PAIR, TIE, HEAD, TAIL = 0, 1, 2, 3

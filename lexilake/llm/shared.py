@@ -61,7 +61,7 @@ def dropped(*tables: DataFrame) -> None:
 def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> list:
     """The keys with more than 1/HOT_KEYS of ``total`` rows. The counts add up to ``total`` at most, so that the
     driver gets fewer than HOT_KEYS keys, whatever the table."""
-    return [r[0] for r in counts.where(F.col(count) > max(8.0, total / HOT_KEYS)).select(key).distinct().collect()]
+    return [r[0] for r in counts.where(F.col(count) > max(64.0, total / HOT_KEYS)).select(key).distinct().collect()]
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
