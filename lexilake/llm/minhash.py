@@ -386,7 +386,7 @@ def _id_links(sig: DataFrame, classes: DataFrame) -> DataFrame:
     several = written(several, "repeated")
     own = written(rows.join(several, "doc_id", "left_semi").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep"), "texts")
     low = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("k"))
-    return salted_join(own, low.select("doc_id", "a"), "doc_id", hot_keys(low, "doc_id", "k", own.count())).selectExpr("a", "rep AS b").where("a != b")
+    return written(salted_join(own, low.select("doc_id", "a"), "doc_id", hot_keys(low, "doc_id", "k", own.count())).selectExpr("a", "rep AS b").where("a != b"), "same")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = 3, side: int = 11, window: int = 4) -> DataFrame:

@@ -15,6 +15,8 @@ MAX_ROUNDS = 60
 HOT_KEYS = 4096
 #: Tasks over which a hot key's rows are dealt.
 SALTS = 64
+#: A table of so many links at most (16 bytes each) is handled by one task, without a shuffle and as one file.
+ONE_TASK = 1 << 17
 #: A slot filter has SLOTS_PER_KEY slots for each key, 2^LEAST_BITS at least and 2^MOST_BITS (128 MB) at most.
 SLOTS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 16, 30
 
@@ -108,27 +110,36 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps, each a partial aggregation and a join in which a
     hub's neighbours are split over tasks. Each step is written to the shared folder. Links never reach
-    the driver, only one row of counts per round."""
-    edges = links.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
-    edges = written(edges, "edges")
+    the driver, only one row of counts per round. Once ONE_TASK links or fewer are left, a step is one task
+    that writes one file: the same steps, without the cost of many tasks and files for next to no rows."""
+
+    def together(e: DataFrame, n: int):
+        return e.coalesce(1) if n <= ONE_TASK else e
+
+    def joined(e: DataFrame, low: DataFrame, n: int):
+        return e.join(low.select("u", "m"), "u") if n <= ONE_TASK else salted_join(e, low.select("u", "m"), "u", hot_keys(low, "u", "k", n))
+
+    some = links.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v")
+    edges = written(together(some, links.count()).distinct(), "edges")
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now = state(edges)
     for k in range(MAX_ROUNDS):
-        if not now[0]:
+        n = now[0]
+        if not n:
             break
         # large star: every larger neighbour of u is tied to the least neighbour of u
-        both = edges.selectExpr("v AS u", "u AS w").unionByName(edges.selectExpr("u", "v AS w"))
+        near = together(edges, n)
+        both = near.select(F.inline(F.expr("array(named_struct('u', u, 'w', v), named_struct('u', v, 'w', u))")))
         low = both.groupBy("u").agg(F.min("w").alias("m"), F.count_if(F.col("w") > F.col("u")).alias("k")).where("k > 0").selectExpr("u", "least(u, m) AS m", "k")
-        star = salted_join(edges.selectExpr("v AS u", "u AS w"), low.select("u", "m"), "u", hot_keys(low, "u", "k", now[0]))
-        star = written(star.selectExpr("w AS u", "m AS v").where("u != v").distinct(), f"large{k}")
-        # small star: every smaller neighbour of u, and u, are tied to the least of them
-        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-        tied = salted_join(star, low.select("u", "m"), "u", hot_keys(low, "u", "k", now[0]))
+        star = written(joined(near.selectExpr("v AS u", "u AS w"), low, n).selectExpr("w AS u", "m AS v").where("u != v").distinct(), f"large{k}")
+        # small star: every smaller neighbour of u, and u, are tied to the least of them; a star has no more links than there were
+        near = together(star, n)
+        low = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
         pair = F.inline(F.expr("array(named_struct('a', v, 'b', m), named_struct('a', u, 'b', m))"))
-        old, edges = edges, written(tied.select(pair).selectExpr("a AS u", "b AS v").where("u != v").distinct(), f"small{k}")
+        old, edges = edges, written(joined(near, low, n).select(pair).selectExpr("a AS u", "b AS v").where("u != v").distinct(), f"small{k}")
         dropped(old, star)
         was, now = now, state(edges)
         if now == was:
