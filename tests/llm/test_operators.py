@@ -17,7 +17,7 @@ import pytest
 from conftest import SF, values
 from pyspark.sql import functions as F
 
-from lexilake.llm import chat, decontaminate, features, kernel, language, license_texts, licenses, minhash, mixing, nbsvm, quality_rules, queries, secret_scan, warc
+from lexilake.llm import chat, decontaminate, features, kernel, language, license_texts, licenses, minhash, mixing, nbsvm, quality_rules, queries, secret_scan, shared, warc
 from lexilake.llm.oracles import ORACLES
 from lexilake.llm.shared import components, holds, hot_keys, salted_join, taken_slots
 
@@ -74,7 +74,10 @@ def test_slices_and_large_strings():
     assert run.data.tobytes() == b"one twothree" and run.offsets.tolist() == [0, 7, 12]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 460, 1 << 17])
+def test_components(spark, monkeypatch, one_task):
+    """Against union-find: every step dealt over tasks, the last steps in one, and all of them in one."""
+    monkeypatch.setattr(shared, "ONE_TASK", one_task)
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1200)] + [(2000 + i, 2001 + i) for i in range(60)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
