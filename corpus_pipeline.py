@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import decontaminate, minhash, mixing, nbsvm, secret_scan
-from lexilake.llm.shared import new_folder, written
+from lexilake.llm.shared import bounded_batches, new_folder, written
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS = 5
@@ -15,6 +15,7 @@ SIMILARITY_PERCENT = 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score below the threshold. Rows with null text are scored as empty."""
+    bounded_batches(spark)
     model = nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return nbsvm.keep(docs, model, QUALITY_THRESHOLD)
 
@@ -23,11 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, the one of least id, of each group. A document is an id with a text: rows that
     repeat both are one document, rows of one id with other texts are documents of their own. Rows
     without an id all stay."""
+    bounded_batches(spark)
     return minhash.keep_one(docs, words=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
+    bounded_batches(spark)
     found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaked = written(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")  # its size is known to the planner then
     return docs.join(leaked, docs.doc_id == leaked.leaked_id, "left_anti").select(*docs.columns)
@@ -35,6 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark and brings n_chars up to date."""
+    bounded_batches(spark)
     return secret_scan.redacted(docs)
 
 

@@ -17,6 +17,9 @@ HOT_KEYS = 4096
 SALTS = 64
 #: A table of so many links at most (16 bytes each) is handled by one task, without a shuffle and as one file.
 ONE_TASK = 1 << 17
+#: Bytes of a batch of rows on its way to a Python worker. Spark's own bound is 64 MB, more than a task's texts have; a batch
+#: is held several times over, outside the heap and in the worker, and neither gives all of that back.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 #: A slot filter has SLOTS_PER_KEY slots for each key, 2^LEAST_BITS at least and 2^MOST_BITS (128 MB) at most.
 SLOTS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 16, 30
 
@@ -43,6 +46,13 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches in this session have some BATCH_BYTES, or one longer row; where the session has a bound of its
+    own, that stays. Narrow rows go as many at once as before."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -1,11 +1,13 @@
 """The pipeline, stage by stage, against brute-force versions of the stages' decisions."""
 
 import corpus_pipeline
+import pyarrow as pa
 from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import WORD, brute_components, brute_secrets
 
 from lexilake.llm import decontaminate, nbsvm
+from lexilake.llm.shared import BATCH, BATCH_BYTES
 
 
 def test_stages(spark, tmp_path):
@@ -71,3 +73,26 @@ def test_rows_of_one_id_are_decided_by_text(spark):
     assert sorted(r["_id"] for r in out.collect() if r.doc_id == 7) == [6]
     single = docs.where("tag IN (1, 5, 6, 10, 11, 12)").where("tag != 6")
     assert sorted(r.tag for r in corpus_pipeline.near_duplicates(spark, single, SF).collect()) == [1, 10, 11, 12]
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    """Each stage with Python bounds the bytes that a worker gets at once, whatever the number of rows; no row is lost by it."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.concat("id", F.repeat(F.lit(" word"), 400)).alias("text"))
+    few = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            spark.conf.unset(BATCH)
+            stage(spark, few, SF)
+            got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert max(r.bytes for r in got) <= 1.25 * BATCH_BYTES < sum(r.bytes for r in got) / 4
+            assert sum(r.n for r in got) == 6000
+        spark.conf.set(BATCH, "1m")
+        corpus_pipeline.secrets(spark, few, SF)
+        assert spark.conf.get(BATCH) == "1m"
+    finally:
+        spark.conf.unset(BATCH)
